@@ -181,3 +181,20 @@ def msd_groups(digits: list[np.ndarray]) -> np.ndarray:
         size = np.bincount(mine)
         alive = alive[order[size[mine] > 1]]
     return label
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; set here only where it is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        import tempfile
+
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="lakeloom-"))
+        folder = _OWN[0]
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+_OWN: list[str] = []

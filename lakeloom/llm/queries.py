@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import suffix_dedup
+from lakeloom.llm import bpe, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op3_bpe": bpe.op3_bpe,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
