@@ -198,3 +198,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _OWN: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts its lineage, and survives lost executors."""
+    import uuid
+
+    where = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+    """node, root: the least node that links (a, b: bigint) reach, for every node that has a link.
+
+    Alternating large and small stars; a hub's links are dealt by a join that
+    Spark can split, never gathered.  Each round is checkpointed.
+    """
+    shared_folder(links.sparkSession)
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+
+    def mark(df):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    before = mark(edges)
+    for _ in range(rounds):
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        small = big.join(low, "u")
+        edges = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        after = mark(edges)
+        if after == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = after
+    raise RuntimeError("components did not settle")

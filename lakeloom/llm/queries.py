@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, suffix_dedup, token_counts
+from lakeloom.llm import bpe, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_bpe": bpe.op3_bpe,
+    "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
