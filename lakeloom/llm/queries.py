@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, simhash, suffix_dedup, token_counts
+from lakeloom.llm import bpe, decontam, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op3_bpe": bpe.op3_bpe,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_decontamination": decontam.op6_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.ORACLE,
+    "op6_decontamination": decontam.ORACLE,
+}
