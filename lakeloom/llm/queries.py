@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, quality_mil, rules_forest, simhash, suffix_dedup, token_counts, url_filter
+from lakeloom.llm import bpe, decontam, langid, quality_mil, rules_forest, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality_mil.op4_quality,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_language_id": langid.op7_language_id,
     "op8_quality_rules": rules_forest.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
