@@ -234,3 +234,25 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = after
     raise RuntimeError("components did not settle")
+
+
+#: A-Z to lower case, all other bytes as they are.
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def word_codes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
+    """Words (runs without ASCII white space) of all texts as codes, the distinct words by code, and words per text."""
+    data, off = concatenated(texts)
+    if lower:
+        data = LOWERED[data]
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begins = ~space
+    begins[1:] &= space[:-1]
+    inner = off[:-1][(off[:-1] < len(data)) & (np.diff(off) > 0)]
+    begins[inner] = ~space[inner]
+    total = np.concatenate([[0], np.cumsum(begins)])
+    packed_ = data[~space]
+    ends = np.append(np.concatenate([[0], np.cumsum(~space)])[np.flatnonzero(begins)], len(packed_)).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed_.tobytes())]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, total[off[1:]] - total[off[:-1]]

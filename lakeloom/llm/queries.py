@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, decontam, langid, quality_mil, rules_forest, simhash, suffix_dedup, token_counts, url_filter
+from lakeloom.llm import bpe, decontam, langid, language_model, quality_mil, rules_forest, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_lm_score": language_model.op2_lm_score,
     "op3_bpe": bpe.op3_bpe,
     "op4_quality": quality_mil.op4_quality,
     "op5_url_filter": url_filter.op5_url_filter,
