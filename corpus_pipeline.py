@@ -1,11 +1,69 @@
-"""Corpus pipeline (being built)."""
+"""Corpus pipeline: filter, de-duplicate, decontaminate and encode documents.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept
+and, but for the last, returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.llm import bpe, common, decontam, quality_mil, simhash, suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.7) go."""
+    model = quality_mil.trained(docs, common.reading(spark, sf_dir, "labels"))
+    return quality_mil.scored(docs, model, carry=docs.columns).filter("predicted = 1").select("carry.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays, once.
+
+    Rows without an id are left alone: no id decides between them.
+    """
+    found = common.written(simhash.near_duplicates(docs).filter("doc_id is not null"), "groups")
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n"))
+    ids = common.written(ids.filter("first = 0 or n > 1").select(F.col("doc_id").alias("id"), "first"), "dropped")
+    left = docs.join(ids, docs["doc_id"].cast("bigint") == ids["id"], "left_anti")
+    again = docs.join(ids.filter("first = 1"), docs["doc_id"].cast("bigint") == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"])  # repeated rows of one id
+    return left.unionByName(again)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes and more that a document of smaller id holds too are cut; a document that is cut whole keeps its row, with an empty text."""
+    cut = suffix_dedup.repeated_spans(docs, carry=docs.columns, as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return cut.select(*[F.when(F.col("n_removed") > 0, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"carry.{c}")).alias(c) if c in new else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold four fifths of a benchmark item's five-word shingles go."""
+    leaks = common.written(decontam.contained(docs, common.reading(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether decoding gives the text back."""
+    coded = bpe.decode(bpe.encode(docs, carry=["doc_id", "text", "lang", "source"]))
+    return coded.select("carry.doc_id", "carry.lang", "carry.source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("carry.text", F.lit(""))).alias("exact"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-duplicates", near_duplicates),
+    ("suffix-array de-duplication", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", encoding),
+]
+
+#: Stages train models and hash; SQL does not express them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.reading(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -306,14 +306,15 @@ def spans_of(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack([starts[first], starts[last] + width], 1)
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Cuts every byte covered by a ``width``-byte string that also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; null is the empty text; matches never cross
     documents; overlaps count; strings are judged on the input.  Returns a row
     per input row: doc_id, n_bytes, n_removed, spans (array of begin and end,
-    in bytes), kept (binary) and, if asked for, the struct ``carry`` of other
-    columns.  Rows of one id are all judged by that id, so repeated rows do
+    in bytes), kept (binary; with ``as_text`` a string, without the rest of
+    characters that a cut broke) and, if asked for, the struct ``carry`` of
+    other columns.  Rows of one id are all judged by that id, so repeated rows do
     not cut each other; a null id counts as larger than any other.  Texts
     shorter than ``width`` stay.  An empty table gives an empty result.
     """
@@ -321,7 +322,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         raise ValueError(f"width must be above {GRAM} and at most 255")
     rows = common.prepared(docs, id_col, text_col, carry)
     batches, buckets = common.sizes(common.text_bytes(rows))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary"
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<begin: bigint, end: bigint>>, kept " + ("string" if as_text else "binary")
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     kind = StructType([*_parse_datatype_string(schema).fields, *([rows.schema["carry"]] if carry else [])])
@@ -357,7 +358,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
             kept.append(b"".join(parts))
             spans.append([{"begin": b, "end": e} for b, e in cut.tolist()])
             gone.append(int((cut[:, 1] - cut[:, 0]).sum()))
-        out = [table["doc_id"], pa.array([len(t) for t in batch.texts], pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+        out = [table["doc_id"], pa.array([len(t) for t in batch.texts], pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
         return pa.table(out + ([table["carry"]] if carry else []), names=names + (["carry"] if carry else []))
 
