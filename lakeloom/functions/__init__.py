@@ -23,5 +23,5 @@ def register(spark: SparkSession) -> None:
     """Registers the Arrow-batched functions: Unicode normal forms, BLAKE2, HMAC and stems."""
     from lakeloom.functions.vectorized import FUNCTIONS
 
-    for name, f in FUNCTIONS.items():
-        spark.udf.register(f"lakeloom_{name}", f)
+    for name, (f, kind) in FUNCTIONS.items():
+        spark.udf.register(f"lakeloom_{name}", F.pandas_udf(f, kind))

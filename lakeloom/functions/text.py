@@ -96,6 +96,12 @@ def url_port(u: str) -> str:
     return f"nullif(regexp_extract(try_parse_url({u}, 'AUTHORITY'), ':(\\\\d+)$', 1), '')"
 
 
+def format_text(f: str, *a: str, types=None) -> str:
+    """Decimals are formatted as doubles; Java has no %f for Spark's decimals."""
+    kinds = (types(*a) if types and a else None) or ["decimal" if re.fullmatch(r"-?\d+\.\d*", x.strip()) else "" for x in a]
+    return f"format_string({', '.join([f, *(f'CAST({x} AS DOUBLE)' if k.startswith('decimal') else x for x, k in zip(a, kinds, strict=True))])})"
+
+
 def contains(x: str, y: str, types=None) -> str:
     kinds = types(x) if types else None
     return f"array_contains({x}, {y})" if kinds and kinds[0].startswith("array") else f"contains({x}, {y})"
@@ -113,7 +119,7 @@ MACROS = {
     "rtrim": lambda s, c=None: f"rtrim({s})" if c is None else f"trim(TRAILING {c} FROM {s})",
     "btrim": lambda s, c=None: f"trim({s})" if c is None else f"trim(BOTH {c} FROM {s})",
     "trim": lambda s, c=None: f"trim({s})" if c is None else f"trim(BOTH {c} FROM {s})",
-    "format": lambda f, *a: f"format_string({', '.join((f, *a))})",
+    "format": format_text,
     "starts_with": lambda s, x: f"startswith({s}, {x})",
     "ends_with": lambda s, x: f"endswith({s}, {x})",
     "contains": contains,

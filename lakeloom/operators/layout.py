@@ -15,13 +15,20 @@ def zorder_key(df: DataFrame, columns: list[str], bits: int = 16) -> Column:
     steps = 1 << min(bits, 8)
     cuts = numeric.agg(*[F.percentile_approx(f"c{k}", [i / steps for i in range(1, steps)], 10_000).alias(f"c{k}") for k in range(len(columns))]).first()
     out = F.lit(0).cast("bigint")
-    ranks = [F.coalesce(F.size(F.filter(F.array(*[F.lit(float(v)) for v in dict.fromkeys(cuts[k])]), lambda v, c=c: v <= _number(df, c))), F.lit(0)) if cuts[k] else F.lit(0) for k, c in enumerate(columns)]
+    ranks = [_rank(_number(df, c), cuts[k]) for k, c in enumerate(columns)]
     for bit in range(min(bits, 8)):
         for k, r in enumerate(ranks):
             out = out + F.shiftleft(F.shiftright(r, bit).bitwiseAND(F.lit(1)).cast("bigint"), bit * len(columns) + k)
     return out
 
 
+def _rank(value: Column, cuts: list[float] | None) -> Column:
+    """How many cuts are at or below the value."""
+    if not cuts:
+        return F.lit(0)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(float(v)) for v in dict.fromkeys(cuts)]), lambda v: v <= value)), F.lit(0))
+
+
 def _number(df: DataFrame, name: str) -> Column:
     kind = dict(df.dtypes)[name]
     if kind == "string":

@@ -4,50 +4,51 @@ from __future__ import annotations
 
 from lakeloom.plans.runner import query
 
-REV = "l_extendedprice * (1 - l_discount)"
+#: Exact to four places: prices and discounts have two each, so sums do not depend on the order of rows.
+REV = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))"
 
 query("tpch_q01", f"""
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum({REV}), 2) AS sum_disc_price,
-       round(sum({REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, CAST(sum({REV}) AS DOUBLE) AS sum_disc_price,
+       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 1) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= DATE '1998-12-01' - INTERVAL '90' DAY GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""")
 query("tpch_q03", f"""
-SELECT l_orderkey, round(sum({REV}), 2) AS revenue, o_orderdate FROM customer, orders, lineitem
+SELECT l_orderkey, CAST(sum({REV}) AS DOUBLE) AS revenue, o_orderdate FROM customer, orders, lineitem
 WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < DATE '1997-03-15' AND l_shipdate > DATE '1997-03-15'
 GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""")
 query("tpch_q04", """
 SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-01-01' + INTERVAL '3' MONTH
 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 40) GROUP BY o_orderpriority ORDER BY o_orderpriority""")
 query("tpch_q05", f"""
-SELECT n_name, round(sum({REV}), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region
+SELECT n_name, CAST(sum({REV}) AS DOUBLE) AS revenue FROM customer, orders, lineitem, supplier, nation, region
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'
 GROUP BY n_name ORDER BY revenue DESC""")
 query("tpch_q06", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.02 AND 0.07 AND l_quantity < 24")
 query("tpch_q07", f"""
-SELECT supp_nation, cust_nation, l_year, round(sum(volume), 2) AS revenue FROM (
+SELECT supp_nation, cust_nation, l_year, CAST(sum(volume) AS DOUBLE) AS revenue FROM (
   SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, extract(year FROM l_shipdate) AS l_year, {REV} AS volume
   FROM supplier, lineitem, orders, customer, nation n1, nation n2
   WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND n1.n_regionkey < n2.n_regionkey
 ) AS shipping GROUP BY supp_nation, cust_nation, l_year""")
 query("tpch_q08", f"""
-SELECT o_year, round(sum(CASE WHEN nation = 'NATION_1' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (
+SELECT o_year, round(CAST(sum(CASE WHEN nation = 'NATION_1' THEN volume ELSE 0 END) AS DOUBLE) / CAST(sum(volume) AS DOUBLE), 6) AS mkt_share FROM (
   SELECT extract(year FROM o_orderdate) AS o_year, {REV} AS volume, n2.n_name AS nation
   FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region
   WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND s_nationkey = n2.n_nationkey
 ) AS all_nations GROUP BY o_year ORDER BY o_year""")
 query("tpch_q10", f"""
-SELECT c_custkey, c_name, round(sum({REV}), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
+SELECT c_custkey, c_name, CAST(sum({REV}) AS DOUBLE) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
 query("tpch_q12", "SELECT l_linestatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate < DATE '1999-01-01' GROUP BY l_linestatus")
 query("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey) AS c GROUP BY c_count")
-query("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REV} ELSE 0 END) / sum({REV}), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1997-09-01'")
-query("tpch_q15", f"WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum({REV}), 2) AS total FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey, s_name, total FROM supplier, revenue WHERE s_suppkey = supplier_no AND total = (SELECT max(total) FROM revenue)")
+query("tpch_q14", f"SELECT round(100 * CAST(sum(CASE WHEN p_type LIKE 'PROMO%' THEN {REV} ELSE 0 END) AS DOUBLE) / CAST(sum({REV}) AS DOUBLE), 6) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= DATE '1996-09-01' AND l_shipdate < DATE '1997-09-01'")
+query("tpch_q15", f"WITH revenue AS (SELECT l_suppkey AS supplier_no, CAST(sum({REV}) AS DOUBLE) AS total FROM lineitem GROUP BY l_suppkey) SELECT s_suppkey, s_name, total FROM supplier, revenue WHERE s_suppkey = supplier_no AND total = (SELECT max(total) FROM revenue)")
 query("tpch_q17", "SELECT round(sum(l_extendedprice) / 7.0, 4) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_size < 20 AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)")
 query("tpch_q18", "SELECT c_name, c_custkey, o_orderkey, o_totalprice, sum(l_quantity) AS qty FROM customer, orders, lineitem WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, c_custkey, o_orderkey, o_totalprice")
-query("tpch_q19", f"SELECT round(sum({REV}), 2) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_size BETWEEN 1 AND 15 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 10 AND 30 AND l_quantity BETWEEN 20 AND 40))")
+query("tpch_q19", f"SELECT CAST(sum({REV}) AS DOUBLE) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_size BETWEEN 1 AND 15 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 10 AND 30 AND l_quantity BETWEEN 20 AND 40))")
 query("tpch_q21", "SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_quantity > 45) GROUP BY s_name")
 query("tpch_q22", "SELECT c_nationkey, count(*) AS numcust, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_nationkey")
 
-query("ssb_star", f"SELECT n_name, extract(year FROM o_orderdate) AS y, round(sum({REV}), 2) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND l_discount > 0.02 GROUP BY n_name, extract(year FROM o_orderdate)")
+query("ssb_star", f"SELECT n_name, extract(year FROM o_orderdate) AS y, CAST(sum({REV}) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND l_discount > 0.02 GROUP BY n_name, extract(year FROM o_orderdate)")
 query("clicks_topk", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 25")
 
 for kind in ("INNER", "LEFT", "RIGHT", "FULL"):
@@ -100,7 +101,7 @@ query("select_exclude", "SELECT * EXCLUDE (n_name) FROM nation")
 query("select_replace", "SELECT * REPLACE (upper(n_name) AS n_name) FROM nation")
 query("values_rows", "SELECT a + 1 AS a, b FROM (VALUES (1, 'x'), (2, 'y'), (NULL, 'z')) AS v(a, b)")
 query("no_from", "SELECT 1 + 1 AS two, 'it''s \\ ok' AS s, 10 / 4 AS q, -7 % 3 AS m", "SELECT 1 + 1 AS two, 'it''s \\ ok' AS s, 10 // 4 AS q, -7 % 3 AS m")
-query("int_division", "SELECT p_partkey, p_size / 7 AS a, p_size / 2.0 AS b, p_partkey / p_size AS c FROM part WHERE p_size > 0", "SELECT p_partkey, p_size // 7 AS a, p_size / 2.0 AS b, p_partkey // p_size AS c FROM part WHERE p_size > 0")
+query("int_division", "SELECT p_partkey, p_size / 7 AS a, p_size / CAST(2 AS DOUBLE) AS b, p_partkey / p_size AS c FROM part WHERE p_size > 0", "SELECT p_partkey, p_size // 7 AS a, p_size / CAST(2 AS DOUBLE) AS b, p_partkey // p_size AS c FROM part WHERE p_size > 0")
 
 query("pred_between_in", "SELECT count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 AND l_discount NOT BETWEEN 0.03 AND 0.05 AND l_linenumber IN (1, 3) AND l_returnflag NOT IN ('A')")
 query("pred_distinct_from", "SELECT k, v IS DISTINCT FROM 1 AS a, v IS NOT DISTINCT FROM NULL AS b FROM (SELECT n_nationkey AS k, nullif(n_regionkey, 2) AS v FROM nation)")
