@@ -46,7 +46,11 @@ def masked(c: Column, kind: T.DataType, mask: dict) -> Column:
 
 @dataclass
 class Policies:
-    """Policies by table; a policy without roles holds for all, else for users that have none of its exempt roles."""
+    """Policies by table.
+
+    A policy holds for all but the users and roles in its ``except``, or, if it
+    has ``only``, for just the users and roles named there.
+    """
 
     filters: list[dict] = field(default_factory=list)
     masks: list[dict] = field(default_factory=list)
@@ -54,10 +58,14 @@ class Policies:
     tags: dict[tuple[str, str], list[str]] = field(default_factory=dict)
     tag_masks: list[dict] = field(default_factory=list)
     grants: list[dict] = field(default_factory=list)
+    members: dict[str, set[str]] = field(default_factory=dict)
 
     @staticmethod
     def _holds(policy: dict, user: str, roles: set[str]) -> bool:
-        return user not in policy.get("except", ()) and not roles & set(policy.get("except", ()))
+        who = {user, *roles}
+        if policy.get("only") is not None:
+            return bool(who & set(policy["only"]))
+        return not who & set(policy.get("except", ()))
 
     def row_filter(self, table: str, user: str, roles: set[str]) -> str | None:
         found = [f"({p['where']})" for p in self.filters if p["table"] == table and self._holds(p, user, roles)]
@@ -97,6 +105,24 @@ class Policies:
     def revoke(self, privilege: str, table: str, to: str) -> None:
         self.grants = [g for g in self.grants if (g["privilege"], g["table"], g["to"]) != (privilege.upper(), table, to)]
 
+    def drop(self, name: str) -> bool:
+        """Removes the policies of a name; whether there were any."""
+        found = False
+        for kind in ("filters", "masks", "tag_masks"):
+            rest = [p for p in getattr(self, kind) if p.get("name") != name]
+            found |= len(rest) < len(getattr(self, kind))
+            setattr(self, kind, rest)
+        return found
+
+    def effective(self, user: str, roles: set[str]) -> list[tuple[str, str, str, str | None, str | None]]:
+        """Table, privilege, grantee, row filter and masks that a user's queries get."""
+        out = []
+        for g in self.grants:
+            if g["to"] in {user, *roles, "PUBLIC"} and g["effect"] == "allow":
+                masks = [f"{p['column']} -> {p.get('expr', p['mask'])}" for p in self.masks if p["table"] == g["table"] and self._holds(p, user, roles)]
+                out.append((g["table"], g["privilege"], g["to"], self.row_filter(g["table"], user, roles), ", ".join(masks) or None))
+        return out
+
     def allowed(self, privilege: str, table: str, user: str, roles: set[str]) -> bool:
         """Denials win; a table without grants is open."""
         mine = [g for g in self.grants if g["table"] in (table, "*") and g["privilege"] in (privilege.upper(), "ALL") and g["to"] in {user, *roles, "PUBLIC"}]

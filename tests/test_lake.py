@@ -169,3 +169,30 @@ def test_policies(e):
         e.as_user("z").sql("SELECT * FROM t")
     e.policies.masks.append({"table": "default.t", "column": "id", "mask": "custom", "expr": "no_such_function(id)"})
     assert e.as_user("r", {"reader"}).sql("SELECT * FROM t").count() == 0  # a broken policy denies
+
+
+def test_policy_statements(e):
+    e.sql("CREATE TABLE t AS SELECT * FROM (VALUES (1, 'eu', 'a@b'), (2, 'us', 'c@d')) AS x(id, region, email)")
+    e.sql("GRANT SELECT (id, email) ON t TO ROLE support MASKED WITH (email = sha256(email)) ROWS WHERE region = 'eu'")
+    s = e.as_user("u", {"support"})
+    import hashlib
+
+    assert rows(s, "SELECT * FROM t") == [(1, None, hashlib.sha256(b"a@b").hexdigest())]
+    assert s.sql("SHOW EFFECTIVE GRANTS").first().row_filter == "(region = 'eu')"
+    e.policies.members["zed"] = {"support"}
+    assert e.sql("CHECK ACCESS SELECT ON t FOR USER zed").first().allowed and not e.sql("CHECK ACCESS SELECT ON t FOR USER other").first().allowed
+    e.sql("GRANT SELECT ON t TO USER plain")
+    e.sql("CREATE POLICY hide ON TABLE t COLUMN MASK REDACT TO USER plain ON COLUMN email")
+    e.sql("CREATE POLICY some ON TABLE t ROW FILTER TO USER plain USING (id = 2)")
+    assert rows(e.as_user("plain"), "SELECT * FROM t") == [(2, "us", "***")]
+    with pytest.raises(LakeError):
+        e.sql("CREATE POLICY hide ON TABLE t COLUMN MASK NULLIFY TO USER plain ON COLUMN email")
+    e.policies.tags["default.t", "region"] = ["geo"]
+    e.sql("CREATE POLICY geo_mask ON TAG geo COLUMN MASK CUSTOM TO USER plain USING (upper(region))")
+    e.sql("DROP POLICY hide")
+    e.sql("DROP POLICY IF EXISTS nope")
+    assert rows(e.as_user("plain"), "SELECT * FROM t") == [(2, "US", "c@d")]
+    assert e.sql("SHOW GRANTS ON t").count() == 2
+    e.sql("REVOKE ALL ON t FROM USER plain")
+    with pytest.raises(PermissionError):
+        e.as_user("plain").sql("SELECT * FROM t")
