@@ -92,10 +92,23 @@ class Model:
         dh *= 1 - h * h
         return {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "q": (t * g).T @ de, "c": z.T @ ds, "o": ds.sum(keepdims=True)}
 
+    @staticmethod
+    def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All bags at half precision, made about a quarter of a megabyte at a time to keep the driver small."""
+        parts, counts, group, size = [], [], [], 0
+        for k, t in enumerate(texts):
+            group.append(t)
+            size += len(t) + PASSAGE
+            if size > 1 << 18 or k == len(texts) - 1:
+                x, begin = passages(group)
+                parts.append(x.astype(np.float16))
+                counts.append(np.diff(begin))
+                group, size = [], 0
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
     def fit(self, texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
         r = np.random.default_rng(seed)
-        x, begin = passages(texts)
-        x = x.astype(np.float16)
+        x, begin = self._bags(texts)
         share = np.clip(label.mean(), 0.05, 0.95)
         weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5  # halfway to equal weight
         m, v, step = {k: np.zeros_like(y) for k, y in self.p.items()}, {k: np.zeros_like(y) for k, y in self.p.items()}, 0
