@@ -6,16 +6,27 @@ and, but for the last, returns the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, common, decontam, quality_mil, simhash, suffix_dedup
 
 
+def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns but the text, which operators pass on themselves, and whether it was null."""
+    return docs.withColumn("__null", F.col("text").isNull()), [*[c for c in docs.columns if c != "text"], "__null"]
+
+
+def _text(column: str) -> Column:
+    return F.when(~F.col("carry.__null"), F.col(column))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.7) go."""
     model = quality_mil.trained(docs, common.reading(spark, sf_dir, "labels"))
-    return quality_mil.scored(docs, model, carry=docs.columns).filter("predicted = 1").select("carry.*")
+    rows, carry = _carried(docs)
+    kept = quality_mil.scored(rows, model, carry=carry).filter("predicted = 1")
+    return kept.select(*[_text("text").alias(c) if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +44,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes and more that a document of smaller id holds too are cut; a document that is cut whole keeps its row, with an empty text."""
-    cut = suffix_dedup.repeated_spans(docs, carry=docs.columns, as_text=True)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return cut.select(*[F.when(F.col("n_removed") > 0, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"carry.{c}")).alias(c) if c in new else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
+    rows, carry = _carried(docs)
+    cut = suffix_dedup.repeated_spans(rows, carry=carry, as_text=True)
+    length = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carry.n_chars"))
+    new = {"text": _text("kept"), "n_chars": length}
+    return cut.select(*[new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +59,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether decoding gives the text back."""
-    coded = bpe.decode(bpe.encode(docs, carry=["doc_id", "text", "lang", "source"]))
-    return coded.select("carry.doc_id", "carry.lang", "carry.source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("carry.text", F.lit(""))).alias("exact"))
+    digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
+    coded = bpe.decode(bpe.encode(docs.withColumn("__digest", digest("text")), carry=["doc_id", "lang", "source", "__digest"]))
+    return coded.select("carry.doc_id", "carry.lang", "carry.source", "n_tokens", "ids", (digest("decoded") == F.col("carry.__digest")).alias("exact"))
 
 
 STAGES = [

@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, and bytes of text to a bucket of the key space.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 512
 
 
 def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text (null: empty) and, if asked for, other columns packed as ``carry``; so extra columns never clash."""
+    """doc_id, text (null: empty) and, if asked for, other columns packed as ``carry``; so extra columns never clash.
+
+    Whole texts go to Python in Arrow batches; a few hundred rows a batch keep workers small.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     cols = [F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")]
     if carry:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry"))

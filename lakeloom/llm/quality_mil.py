@@ -146,7 +146,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Mod
 
 
 def scored(docs: DataFrame, model: Model | float, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, score (0 to 1), predicted and, if asked for, the struct ``carry``: one row per input row.
+    """doc_id, score (0 to 1), predicted and, if asked for, text and the struct ``carry``: one row per input row.
 
     Whole texts are scored; a null text is the empty text, which is one empty
     passage.  Nothing but the text goes into a score.
@@ -155,21 +155,21 @@ def scored(docs: DataFrame, model: Model | float, threshold: float = 0.7, carry:
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     rows = common.prepared(docs, carry=carry)
-    kind = StructType([*_parse_datatype_string("doc_id bigint, score double, predicted int").fields, *([rows.schema["carry"]] if carry else [])])
+    kind = StructType([*_parse_datatype_string("doc_id bigint, score double, predicted int").fields, *([rows.schema["text"], rows.schema["carry"]] if carry else [])])
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             score, group, size = np.empty(len(texts)), [], 0
-            for k, t in enumerate(texts):  # about a megabyte at a time
+            for k, t in enumerate(texts):  # about a quarter of a megabyte at a time
                 group.append(k)
                 size += len(t) + PASSAGE
-                if size > 1 << 20 or k == len(texts) - 1:
+                if size > 1 << 18 or k == len(texts) - 1:
                     score[group] = model.score([texts[g] for g in group]) if isinstance(model, Model) else model
                     group, size = [], 0
             score = np.round(score, 6)  # below that, a score depends on how rows are batched
-            cols = [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))] + ([batch.column("carry")] if carry else [])
+            cols = [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))] + ([batch.column("text"), batch.column("carry")] if carry else [])
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target, strict=True)], schema=target)
 
     return rows.mapInArrow(run, kind)
