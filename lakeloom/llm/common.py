@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +69,13 @@ def concatenated(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, their lengths in bytes first."""
+    """Arrays one after the other, their lengths in bytes first; compressed, as messages are most of what is shuffled."""
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64)
-    return b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]])
+    return zstandard.compress(b"".join([head.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]), 1)
 
 
 def unpacked(body: bytes, *kinds) -> list[np.ndarray]:
+    body = zstandard.decompress(body)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     lengths, at, out = np.frombuffer(body, np.int64, n, 8), 8 * (n + 1), []
     for length, kind in zip(lengths, kinds, strict=True):

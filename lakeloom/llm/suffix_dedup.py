@@ -174,7 +174,7 @@ class _Batch:
 
     def window_messages(self) -> dict[int, bytes]:
         wins = dict(self._split(self.w_bucket))
-        return {b: common.packed(*[x[i] for x in self.ctx], *[x[wins[b]] for x in self.win]) for b, i in self._split(self.c_bucket)}
+        return {b: common.packed(*[x[i] for x in self.ctx[1:]], *[x[wins[b]] for x in self.win]) for b, i in self._split(self.c_bucket)}
 
     def removed(self, replies: dict[int, bytes]) -> list[np.ndarray]:
         """For each row: starts of its windows that also start in a smaller document."""
@@ -226,9 +226,13 @@ def _sorted_windows(width: int):
     span = reach + width
 
     def answer(_ids: list[int], bodies: list[bytes]) -> list[bytes]:
-        got = [common.unpacked(b, np.uint64, np.uint16, np.uint8, np.int64, np.uint8, np.int64) for b in bodies]
-        h, limits, ctx, doc, rows, low = (np.concatenate(x) for x in zip(*got, strict=True))
+        got = [common.unpacked(b, np.uint16, np.uint8, np.int64, np.uint8, np.int64) for b in bodies]
+        limits, ctx, doc, rows, low = (np.concatenate(x) for x in zip(*got, strict=True))
         ctx, rows = ctx.reshape(-1, span), rows.reshape(-1, width)
+        h = np.zeros(len(limits), np.uint64)  # of the gram, which stands in the middle
+        with np.errstate(over="ignore"):
+            for digit in _as_digits(ctx[:, reach : reach + GRAM]):
+                h = _mixed(h * _B + digit)
         mins = np.full(len(h), 2**63 - 1, np.int64)
         odd_which, odd_back, odd_to = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         if len(h):
@@ -267,7 +271,7 @@ def _sorted_windows(width: int):
             low = w_least[of_w]
         out, at, at_w = [], 0, 0
         for x in got:
-            n, w = len(x[0]), len(x[5])
+            n, w = len(x[0]), len(x[4])
             which, back, to = np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64)
             if n:
                 mine = of[at : at + n]
