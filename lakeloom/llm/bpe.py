@@ -67,6 +67,13 @@ class Codec:
         self.held = 0
         self.hits = self.misses = 0
 
+    def forget(self) -> None:
+        """Drops what a task kept."""
+        self.middles.clear()
+        self.joins.clear()
+        self.held = 0
+        common.release()
+
     def _plain(self, data: bytes) -> np.ndarray:
         return np.array(self.plain.encode_ordinary(data.decode("utf-8", "replace")), np.uint32)
 
@@ -189,6 +196,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, special: bool = True,
                 cols = [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())]
                 cols += [part.column("carry")] if carry else []
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(cols, target, strict=True)], schema=target)
+        c.forget()
 
     return rows.mapInArrow(run, kind)
 

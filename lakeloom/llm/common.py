@@ -11,6 +11,7 @@ one shuffle that all rounds of the plan reuse.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a batch, and bytes of text to a bucket of the key space.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 #: Rows of an Arrow batch of texts.
 ARROW_ROWS = 512
 
@@ -85,6 +86,19 @@ def unpacked(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on through stages and share their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
 MESSAGE = "bucket int, batch int, body binary"
 REPLY = "batch int, bucket int, round int, body binary"
 
@@ -132,7 +146,9 @@ def exchange_rounds(
     def last(table, got):
         if not table.num_rows:
             return target.empty_table()
-        return finish(ordered(table), by_round(got)).cast(target)
+        out = finish(ordered(table), by_round(got)).cast(target)
+        release()
+        return out
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -149,16 +165,21 @@ def _round(number: int, emit: Callable, answer: Callable, ordered: Callable, by_
         return pa.table([list(out), [batch] * len(out), list(out.values())], schema=said)
 
     def first(table):
-        return message(table["batch"][0].as_py(), emit(ordered(table), {}))
+        out = message(table["batch"][0].as_py(), emit(ordered(table), {}))
+        release()
+        return out
 
     def later(table, got):
         if not table.num_rows:
             return said.empty_table()
-        return message(table["batch"][0].as_py(), emit(ordered(table), by_round(got)))
+        out = message(table["batch"][0].as_py(), emit(ordered(table), by_round(got)))
+        release()
+        return out
 
     def answered(table):
         ids = table["batch"].to_pylist()
         n = len(ids)
+        release()
         return pa.table([ids, [table["bucket"][0].as_py()] * n, [number] * n, answer(ids, table["body"].to_pylist())], schema=told)
 
     return first, later, answered

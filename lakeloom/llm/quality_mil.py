@@ -171,6 +171,7 @@ def scored(docs: DataFrame, model: Model | float, threshold: float = 0.7, carry:
             score = np.round(score, 6)  # below that, a score depends on how rows are batched
             cols = [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))] + ([batch.column("text"), batch.column("carry")] if carry else [])
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+        common.release()
 
     return rows.mapInArrow(run, kind)
 

@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        common.release()
 
     return common.prepared(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
 

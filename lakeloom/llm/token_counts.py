@@ -104,6 +104,7 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, separator: int =
                 ids = [part.column("doc_id").to_pylist()] + [None] * (len(bodies) - 1)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"] * len(bodies)), pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["file", "block", "body", "doc_ids"])
                 number += 1
+        c.forget()
 
     return rows.mapInArrow(run, "file string, block bigint, body binary, doc_ids array<bigint>")
 
