@@ -22,7 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_quality": quality_mil.op4_quality,
     "op5_url_filter": url_filter.ORACLE,
     "op6_decontamination": decontam.ORACLE,
 }
