@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, common, decontam, quality_mil, simhash, suffix_dedup
+from lakeloom.llm import bpe, common, decontam, near_copies, quality_mil, suffix_dedup
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -30,15 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays, once.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of smallest id stays, once.
 
-    Rows without an id are left alone: no id decides between them.
+    Rows are told apart by id and text; a row without an id stays only where its group has no id.
     """
-    found = common.written(simhash.near_duplicates(docs).filter("doc_id is not null"), "groups")
-    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n"))
-    ids = common.written(ids.filter("first = 0 or n > 1").select(F.col("doc_id").alias("id"), "first"), "dropped")
-    left = docs.join(ids, docs["doc_id"].cast("bigint") == ids["id"], "left_anti")
-    again = docs.join(ids.filter("first = 1"), docs["doc_id"].cast("bigint") == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"])  # repeated rows of one id
+    found = common.written(near_copies.near_copies(docs), "groups")
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+    several = common.written(found.join(stays, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), first.alias("__first")).distinct(), "dropped")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__copy"))
+    left = docs.join(several, same, "left_anti")
+    again = docs.join(several.filter("__first"), same, "left_semi").dropDuplicates(["doc_id", "text"])  # repeated rows of one id
     return left.unionByName(again)
 
 
@@ -66,7 +68,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-duplicates", near_duplicates),
+    ("near-duplicates by shingle similarity", near_duplicates),
     ("suffix-array de-duplication", repeated_passages),
     ("benchmark decontamination", decontamination),
     ("BPE encoding and decoding", encoding),
