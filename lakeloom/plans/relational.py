@@ -52,8 +52,8 @@ query("ssb_star", f"SELECT n_name, extract(year FROM o_orderdate) AS y, CAST(sum
 query("clicks_topk", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 25")
 
 for kind in ("INNER", "LEFT", "RIGHT", "FULL"):
-    query(f"join_{kind.lower()}", f"SELECT a.c_custkey AS a, b.s_suppkey AS b, a.c_nationkey AS n FROM (SELECT * FROM customer WHERE c_custkey <= 60) a {kind} JOIN (SELECT * FROM supplier WHERE s_suppkey <= 20) b ON a.c_nationkey = b.s_nationkey")
-query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 6")
+    query(f"join_{kind.lower()}", f"SELECT a.c_custkey AS a, b.o_orderkey AS b, a.c_nationkey AS n FROM customer a {kind} JOIN (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey FROM orders) b ON a.c_custkey = b.o_custkey")
+query("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 query("join_using", "SELECT o_orderkey, n FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l JOIN orders USING (o_orderkey) WHERE o_totalprice > 100000")
 query("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier GROUP BY s_nationkey) y")
 query("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey AND o_totalprice > 300000)")
