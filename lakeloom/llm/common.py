@@ -1,19 +1,22 @@
 """Plumbing shared by the training-data operators.
 
-``exchange_rounds`` is the one distributed pattern that the corpus-wide
-operators use.  Documents are dealt into small hash batches; each batch sends
-one compact binary message to every hash bucket of some key space (words,
-anchors, ...); a bucket answers each batch.  A key that a third of the corpus
-shares is one entry per batch, so no bucket gets rows per occurrence, and
-nothing is collected, broadcast or cached.  The exchange of the documents is
-one shuffle that all rounds of the plan reuse.
+``Exchange`` is the one distributed pattern that the corpus-wide operators
+use.  Documents are dealt into small hash batches; a batch sends one compact
+binary message to each hash bucket of some key space (words, grams, ...) for
+which it has a key, and a bucket answers each of its batches.  A key that a
+third of the corpus shares is one entry per batch, so no bucket gets rows per
+occurrence, and nothing is collected or broadcast.  The number of buckets
+stays the same up to 2 GB of text, so messages grow with the input; beyond,
+buckets grow in number and messages get smaller, but there is never more than
+one for each key of a batch.  The exchange of the documents is one shuffle
+that all rounds of a plan reuse.
 """
 
 from __future__ import annotations
 
 import ctypes
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in a batch, and bytes of text to a bucket of the key space.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+#: Bytes of text in a batch, bytes of text to a bucket of the key space, and the fewest buckets.
+BATCH_BYTES, BUCKET_BYTES, BUCKETS = 4 << 20, 32 << 20, 64
 #: Rows of an Arrow batch of texts.
 ARROW_ROWS = 512
 
@@ -51,7 +54,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 def sizes(total: int) -> tuple[int, int]:
     """Number of batches and of buckets for so many bytes of text; both grow with the input."""
-    return max(24, math.ceil(total / BATCH_BYTES)), max(12, math.ceil(total / BUCKET_BYTES))
+    return max(24, math.ceil(total / BATCH_BYTES)), max(BUCKETS, math.ceil(total / BUCKET_BYTES))
 
 
 def reading(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,88 +104,90 @@ def release() -> None:
 
 MESSAGE = "bucket int, batch int, body binary"
 REPLY = "batch int, bucket int, round int, body binary"
+#: As a bucket: what a batch keeps for its own later rounds.  As a batch: what a bucket says of itself.
+STATE = SUMMARY = -1
 
 
-def exchange_rounds(
-    docs: DataFrame,
-    batches: int,
-    buckets: int,
-    rounds: list[tuple[Callable, Callable]],
-    finish: Callable,
-    schema: str,
-) -> DataFrame:
-    """Rounds of messages between batches of documents and buckets of a key space.
-
-    docs: from ``prepared``.  Each round is (emit, answer):
-    emit(table, replies) -> {bucket: bytes}, where replies[r][bucket] are the
-    bytes of earlier rounds; it must depend on nothing but its arguments.
-    answer(batch ids, bodies) -> bodies, in the same order.
-    finish(table, replies) -> pa.Table of ``schema``.
-    Every batch has a message for every bucket, an empty one if need be.
+def split_by(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has rows, and which; rows keep their order."""
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield b, order[ends[b] : ends[b + 1]]
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """Equal order whenever a batch is read: by id, then text."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+
+
+def _by_round(table: pa.Table) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for b, r, body in zip(table["bucket"].to_pylist(), table["round"].to_pylist(), table["body"].to_pylist(), strict=True):
+        out.setdefault(r, {})[b] = body
+    return out
+
+
+class Exchange:
+    """Rounds of messages between batches of documents (from ``prepared``) and buckets of a key space.
+
+    Repeated rows of one id and text are dealt by the partition they come
+    from, so no batch holds more of them than one input partition.
     """
-    keyed = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
-    said = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("body", pa.binary())])
-    told = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("round", pa.int32()), ("body", pa.binary())])
-
-    def ordered(table: pa.Table) -> pa.Table:
-        """Equal order whenever a batch is read: by id, then text."""
-        return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-
-    def by_round(table: pa.Table) -> dict[int, dict[int, bytes]]:
-        out: dict[int, dict[int, bytes]] = {}
-        for b, r, body in zip(table["bucket"].to_pylist(), table["round"].to_pylist(), table["body"].to_pylist(), strict=True):
-            out.setdefault(r, {})[b] = body
-        return out
-
-    replies: DataFrame | None = None
-    for number, (emit, answer) in enumerate(rounds):
-        first, later, answered = _round(number, emit, answer, ordered, by_round, said, told)
-        sent = keyed.groupBy("batch").applyInArrow(first, MESSAGE) if replies is None else keyed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(later, MESSAGE)
-        got = sent.groupBy("bucket").applyInArrow(answered, REPLY)
-        replies = got if replies is None else replies.unionAll(got)
-
-    target = None
-
-    def last(table, got):
-        if not table.num_rows:
-            return target.empty_table()
-        out = finish(ordered(table), by_round(got)).cast(target)
-        release()
-        return out
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    target = to_arrow_schema(kind)
-    return keyed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(last, kind)
-
-
-def _round(number: int, emit: Callable, answer: Callable, ordered: Callable, by_round: Callable, said: pa.Schema, told: pa.Schema):
-    """The three Arrow functions of a round: without replies so far, with them, and in the bucket."""
-
-    def message(batch: int, out: dict[int, bytes]) -> pa.Table:
-        return pa.table([list(out), [batch] * len(out), list(out.values())], schema=said)
-
-    def first(table):
-        out = message(table["batch"][0].as_py(), emit(ordered(table), {}))
-        release()
-        return out
-
-    def later(table, got):
-        if not table.num_rows:
-            return said.empty_table()
-        out = message(table["batch"][0].as_py(), emit(ordered(table), by_round(got)))
-        release()
-        return out
-
-    def answered(table):
-        ids = table["batch"].to_pylist()
-        n = len(ids)
-        release()
-        return pa.table([ids, [table["bucket"][0].as_py()] * n, [number] * n, answer(ids, table["body"].to_pylist())], schema=told)
-
-    return first, later, answered
+
+    def __init__(self, docs: DataFrame, batches: int):
+        self.keyed = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches)).cast("int"))
+
+    def round(self, number: int, emit: Callable, answer: Callable, replies: DataFrame | None = None) -> DataFrame:
+        """REPLY rows of a round.
+
+        emit(table, replies) -> {bucket: bytes}, where replies[r][bucket] are
+        those of earlier rounds; it must depend on nothing but its arguments.
+        What it gives for STATE comes back as replies[number][STATE].
+        answer(batch ids, bodies) -> bodies, in the same order, and perhaps
+        one more: the row of SUMMARY.
+        """
+        said = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("body", pa.binary())])
+        told = pa.schema([("batch", pa.int32()), ("bucket", pa.int32()), ("round", pa.int32()), ("body", pa.binary())])
+
+        def message(table: pa.Table, got: dict) -> pa.Table:
+            batch, out = table["batch"][0].as_py(), emit(_ordered(table), got)
+            release()
+            return pa.table([[b if b != STATE else -1 - batch for b in out], [batch] * len(out), list(out.values())], schema=said)
+
+        def first(table):
+            return message(table, {})
+
+        def later(table, got):
+            return message(table, _by_round(got)) if table.num_rows else said.empty_table()
+
+        def answered(table):
+            ids, bucket, bodies = table["batch"].to_pylist(), table["bucket"][0].as_py(), table["body"].to_pylist()
+            if bucket >= 0:
+                bodies = answer(ids, bodies)
+                release()
+            n = len(bodies)
+            return pa.table([(ids + [SUMMARY])[:n], [max(bucket, STATE)] * n, [number] * n, bodies], schema=told)
+
+        sent = self.keyed.groupBy("batch").applyInArrow(first, MESSAGE) if replies is None else self.keyed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(later, MESSAGE)
+        return sent.groupBy("bucket").applyInArrow(answered, REPLY)
+
+    def finish(self, finish: Callable, schema, replies: DataFrame) -> DataFrame:
+        """finish(table, replies) -> pa.Table of ``schema``, for every batch."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType, _parse_datatype_string
+
+        kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+        target = to_arrow_schema(kind)
+
+        def last(table, got):
+            if not table.num_rows:
+                return target.empty_table()
+            out = finish(_ordered(table), _by_round(got)).cast(target)
+            release()
+            return out
+
+        return self.keyed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(last, kind)
 
 
 def msd_groups(digits: list[np.ndarray]) -> np.ndarray:

@@ -8,7 +8,8 @@ at a place that its own bytes decide, so equal windows share gram and place.
 Round 1 finds the grams that two different texts share; only windows around
 those go on.  Round 2 sorts them, eight bytes a pass, in the bucket of their
 gram.  Grams in very many texts send single windows instead, dealt by their
-own bytes, so that no bucket grows with the number of copies.
+own bytes, so that no bucket grows with the number of copies.  Minimisers are
+found once: a batch keeps their places, and what it sent, from round to round.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ def _slid(x: np.ndarray, n: int, best) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, place and hash of every minimiser of every window of ``width`` bytes within a text."""
+def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Places of the minimisers of all windows of ``width`` bytes within a text, in order."""
     slack, found = width - GRAM + 1, []
     k = 0
     while k < len(offsets) - 1:  # about a megabyte at a time
@@ -75,11 +76,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
             least[left < width] = 0  # no window begins here
             top = _slid(least[::-1], slack, np.maximum)[::-1]
             at = np.flatnonzero((top == h) & (left >= GRAM))
-            found.append((np.searchsorted(off, at, "right") - 1 + k, at + offsets[k], h[at]))
+            found.append(at + offsets[k])
         k = e
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return np.concatenate([np.zeros(0, np.int64), *found])
 
 
 def _as_digits(rows: np.ndarray) -> list[np.ndarray]:
@@ -90,14 +89,28 @@ def _as_digits(rows: np.ndarray) -> list[np.ndarray]:
     return list(wide.view(np.uint64).T)
 
 
+def _digest(digits: list[np.ndarray]) -> np.ndarray:
+    """A hash of rows of bytes."""
+    h = np.zeros(len(digits[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for digit in digits:
+            h = _mixed(h * _B + digit)
+    return h
+
+
+def _least(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(n, 2**63 - 1, np.int64)
+    np.minimum.at(out, of, values)
+    return out
+
+
 class _Batch:
-    """What both emits and the end derive from a batch; equal whenever it is read."""
+    """The texts of a batch, each distinct one once; equal whenever it is read."""
 
     def __init__(self, table: pa.Table, width: int, buckets: int):
         self.width, self.buckets, self.reach = width, buckets, width - GRAM
         self.texts = common.texts_of(table)
-        ids = table["doc_id"].to_pylist()
-        self.ids = [2**63 - 1 if i is None else i for i in ids]
+        self.ids = [2**63 - 1 if i is None else i for i in table["doc_id"].to_pylist()]
         first: dict[bytes, int] = {}
         self.of = []
         for row, text in enumerate(self.texts):  # in order of doc_id: the first is the smallest
@@ -105,106 +118,116 @@ class _Batch:
         self.reps = list(first.values())
         self.data, self.offsets = common.concatenated([self.texts[r] for r in self.reps])
         self.rep_ids = np.array([self.ids[r] for r in self.reps], np.int64)
-        self.rep, self.at, self.hash = anchors(self.data, self.offsets, width)
-        order = np.lexsort((self.rep, self.hash))
-        h, r = self.hash[order], self.rep[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-        self.grams, self.counts = np.unique(h[fresh], return_counts=True)
-        self.bucket = (self.grams % np.uint64(buckets)).astype(np.int64)
+
+    def rep_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, "right") - 1
+
+    def place(self, at: np.ndarray) -> None:
+        """Minimisers stand at these places; their grams, each once, by hash."""
+        self.at, self.rep = at, self.rep_of(at)
+        padded = np.concatenate([self.data, np.zeros(GRAM, np.uint8)])
+        self.hash = _digest(_as_digits(np.lib.stride_tricks.sliding_window_view(padded, GRAM)[at])) if len(at) else np.zeros(0, np.uint64)
+        self.grams, self.gram = np.unique(self.hash, return_inverse=True)
+        self.bucket = (self.grams % np.uint64(self.buckets)).astype(np.int64)
 
     def gram_messages(self) -> dict[int, bytes]:
-        out = {}
+        self.place(anchors(self.data, self.offsets, self.width))
+        order = np.lexsort((self.rep, self.gram))
+        g, r = self.gram[order], self.rep[order]
+        fresh = np.ones(len(g), bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+        many = np.minimum(np.bincount(g[fresh], minlength=len(self.grams)), 255).astype(np.uint8)
         five = np.ascontiguousarray((self.grams // np.uint64(self.buckets))[:, None].view(np.uint8).reshape(-1, 8)[:, :5])
-        many = np.minimum(self.counts, 255).astype(np.uint8)
-        for b, idx in self._split(self.bucket):
-            out[b] = common.packed(five[idx], many[idx])
+        out = {b: common.packed(five[idx], many[idx]) for b, idx in common.split_by(self.bucket, self.buckets)}
+        gaps = np.diff(self.at, prepend=0)
+        far = np.flatnonzero(gaps > 254)
+        out[common.STATE] = common.packed(np.where(gaps > 254, 255, gaps).astype(np.uint8), gaps[far])
         return out
 
-    def _split(self, bucket: np.ndarray):
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            yield b, order[ends[b] : ends[b + 1]]
-
     def heard(self, replies: dict[int, bytes]) -> None:
         """Round 1's answers: 0 for grams of one text, 1 for repeated ones, 2 for hot ones."""
+        short, far = common.unpacked(replies[common.STATE], np.uint8, np.int64)
+        gaps = short.astype(np.int64)
+        gaps[short == 255] = far
+        self.place(np.cumsum(gaps))
         state = np.zeros(len(self.grams), np.uint8)
-        for b, idx in self._split(self.bucket):
-            if b in replies:
-                state[idx] = np.frombuffer(replies[b], np.uint8)
-        mine = state[np.searchsorted(self.grams, self.hash)] if len(self.grams) else np.zeros(0, np.uint8)
-        lo = np.maximum(0, self.at + self.width - self.offsets[self.rep + 1])
-        hi = np.minimum(self.reach, self.at - self.offsets[self.rep])
+        for b, idx in common.split_by(self.bucket, self.buckets):
+            state[idx] = np.frombuffer(replies[b], np.uint8)
+        mine = state[self.gram]
+        lo, hi = self.limits(self.at, self.rep)
         padded = np.concatenate([np.zeros(self.reach, np.uint8), self.data, np.zeros(self.width, np.uint8)])
         views = np.lib.stride_tricks.sliding_window_view(padded, self.reach + self.width)
         # contexts: all that a window around the gram can hold
         sel = np.flatnonzero(mine == 1)
-        self.c_occ = sel
         ctx = views[self.at[sel]].copy()
         place = np.arange(ctx.shape[1])
         ctx[(place < (self.reach - hi[sel])[:, None]) | (place >= (self.reach - lo[sel] + self.width)[:, None])] = 0
         limits = (lo[sel] | (hi[sel] << 8)).astype(np.uint16)
-        self.c_lo, self.c_hi = lo[sel], hi[sel]
         label = common.msd_groups([self.hash[sel], limits.astype(np.uint64), *_as_digits(ctx)]) if len(sel) else np.zeros(0, np.int64)
-        _, pick, self.c_of = np.unique(label, return_index=True, return_inverse=True)
-        least = np.full(len(pick), 2**63 - 1, np.int64)
-        np.minimum.at(least, self.c_of, self.rep_ids[self.rep[sel]])
-        self.ctx = (self.hash[sel][pick], limits[pick], ctx[pick], least)
-        self.c_bucket = (self.ctx[0] % np.uint64(self.buckets)).astype(np.int64)
+        _, pick, c_of = np.unique(label, return_index=True, return_inverse=True)
+        self.ctx = (limits[pick], ctx[pick], _least(self.rep_ids[self.rep[sel]], c_of, len(pick)))
+        self.c_at, self.c_of, self.c_bucket = self.at[sel], c_of, (self.hash[sel][pick] % np.uint64(self.buckets)).astype(np.int64)
         # single windows of hot grams
         hot = np.flatnonzero(mine == 2)
-        occ = np.repeat(hot, hi[hot] - lo[hot] + 1)
-        back = np.arange(len(occ)) - np.repeat(np.cumsum(hi[hot] - lo[hot] + 1) - (hi[hot] - lo[hot] + 1), hi[hot] - lo[hot] + 1) + lo[occ]
-        starts = self.at[occ] - back
-        starts, which = np.unique(starts, return_index=True)
-        self.w_rep, self.w_start = self.rep[occ[which]], starts
-        rows = views[starts + self.reach][:, : self.width]
+        each = hi[hot] - lo[hot] + 1
+        occ = np.repeat(hot, each)
+        back = np.arange(len(occ)) - np.repeat(np.cumsum(each) - each, each) + lo[occ]
+        self.w_start = np.unique(self.at[occ] - back)
+        rows = views[self.w_start + self.reach][:, : self.width]
         digits = _as_digits(rows)
         label = common.msd_groups(digits) if len(rows) else np.zeros(0, np.int64)
         _, pick, self.w_of = np.unique(label, return_index=True, return_inverse=True)
-        least = np.full(len(pick), 2**63 - 1, np.int64)
-        np.minimum.at(least, self.w_of, self.rep_ids[self.w_rep])
-        self.win = (rows[pick], least)
-        mix = np.zeros(len(pick), np.uint64)
-        with np.errstate(over="ignore"):
-            for d in digits:
-                mix = _mixed(mix * _B + d[pick])
-        self.w_bucket = (mix % np.uint64(self.buckets)).astype(np.int64)
+        self.win = (rows[pick], _least(self.rep_ids[self.rep_of(self.w_start)], self.w_of, len(pick)))
+        self.w_bucket = (_digest([d[pick] for d in digits]) % np.uint64(self.buckets)).astype(np.int64)
+
+    def limits(self, at: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far before a gram a window that holds it may begin: at least, at most."""
+        return np.maximum(0, at + self.width - self.offsets[rep + 1]), np.minimum(self.reach, at - self.offsets[rep])
 
     def window_messages(self) -> dict[int, bytes]:
-        wins = dict(self._split(self.w_bucket))
-        return {b: common.packed(*[x[i] for x in self.ctx[1:]], *[x[wins[b]] for x in self.win]) for b, i in self._split(self.c_bucket)}
+        ctxs, wins = dict(common.split_by(self.c_bucket, self.buckets)), dict(common.split_by(self.w_bucket, self.buckets))
+        none = np.zeros(0, np.int64)
+        out = {b: common.packed(*[x[ctxs.get(b, none)] for x in self.ctx], *[x[wins.get(b, none)] for x in self.win]) for b in sorted({*ctxs, *wins})}
+        if out:
+            small = [x.astype(np.int32) for x in (np.diff(self.c_at, prepend=0), self.c_of, self.c_bucket, np.diff(self.w_start, prepend=0), self.w_of, self.w_bucket)]
+            out[common.STATE] = common.packed(*small)
+        return out
 
-    def removed(self, replies: dict[int, bytes]) -> list[np.ndarray]:
-        """For each row: starts of its windows that also start in a smaller document."""
-        base = np.full(len(self.ctx[3]), 2**63 - 1, np.int64)
-        least = np.full(len(self.win[1]), 2**63 - 1, np.int64)
+    def removed(self, replies: dict[int, bytes]) -> np.ndarray:
+        """Starts of the windows that also start in a smaller document."""
+        if not replies:
+            return np.zeros(0, np.int64)
+        gaps, c_of, c_bucket, w_gaps, w_of, w_bucket = (x.astype(np.int64) for x in common.unpacked(replies[common.STATE], *[np.int32] * 6))
+        c_at, w_start = np.cumsum(gaps), np.cumsum(w_gaps)
+        base, least = (np.full(len(x), 2**63 - 1, np.int64) for x in (c_bucket, w_bucket))
         odd: list[tuple] = []
-        wins = dict(self._split(self.w_bucket))
-        for b, idx in self._split(self.c_bucket):
+        ctxs, wins, none = dict(common.split_by(c_bucket, self.buckets)), dict(common.split_by(w_bucket, self.buckets)), np.zeros(0, np.int64)
+        for b in sorted({*ctxs, *wins}):
             mins, which, back, to, low = common.unpacked(replies[b], np.int64, np.int32, np.uint8, np.int64, np.int64)
+            idx = ctxs.get(b, none)
             base[idx] = mins
             odd.append((idx[which], back, to))
-            least[wins[b]] = low
-        doc = self.rep_ids[self.rep[self.c_occ]]
+            least[wins.get(b, none)] = low
+        rep = self.rep_of(c_at)
+        doc = self.rep_ids[rep]
+        c_lo, c_hi = self.limits(c_at, rep)
         starts = []
-        full = np.flatnonzero(base[self.c_of] < doc)
+        full = np.flatnonzero(base[c_of] < doc)
         for j in range(self.reach + 1):
-            ok = full[(self.c_lo[full] <= j) & (j <= self.c_hi[full])]
-            starts.append(self.at[self.c_occ[ok]] - j)
+            ok = full[(c_lo[full] <= j) & (j <= c_hi[full])]
+            starts.append(c_at[ok] - j)
         o_ctx, o_back, o_to = (np.concatenate(x) for x in zip(*odd, strict=True))
         if len(o_ctx):
             order = np.argsort(o_ctx, kind="stable")
             o_ctx, o_back, o_to = o_ctx[order], o_back[order], o_to[order]
-            lo, hi = np.searchsorted(o_ctx, self.c_of), np.searchsorted(o_ctx, self.c_of, "right")
+            lo, hi = np.searchsorted(o_ctx, c_of), np.searchsorted(o_ctx, c_of, "right")
             some = np.flatnonzero(hi > lo)
             n = (hi - lo)[some]
             occ = np.repeat(some, n)
             e = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[some], n)
             ok = o_to[e] < doc[occ]
-            starts.append(self.at[self.c_occ[occ[ok]]] - o_back[e[ok]].astype(np.int64))
-        starts.append(self.w_start[least[self.w_of] < self.rep_ids[self.w_rep]])
+            starts.append(c_at[occ[ok]] - o_back[e[ok]].astype(np.int64))
+        starts.append(w_start[least[w_of] < self.rep_ids[self.rep_of(w_start)]])
         return np.unique(np.concatenate(starts))
 
 
@@ -229,17 +252,13 @@ def _sorted_windows(width: int):
         got = [common.unpacked(b, np.uint16, np.uint8, np.int64, np.uint8, np.int64) for b in bodies]
         limits, ctx, doc, rows, low = (np.concatenate(x) for x in zip(*got, strict=True))
         ctx, rows = ctx.reshape(-1, span), rows.reshape(-1, width)
-        h = np.zeros(len(limits), np.uint64)  # of the gram, which stands in the middle
-        with np.errstate(over="ignore"):
-            for digit in _as_digits(ctx[:, reach : reach + GRAM]):
-                h = _mixed(h * _B + digit)
+        h = _digest(_as_digits(ctx[:, reach : reach + GRAM]))  # of the gram, which stands in the middle
         mins = np.full(len(h), 2**63 - 1, np.int64)
         odd_which, odd_back, odd_to = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
         if len(h):
             same = common.msd_groups([h, limits.astype(np.uint64), *_as_digits(ctx)])
             _, pick, of = np.unique(same, return_index=True, return_inverse=True)
-            least = np.full(len(pick), 2**63 - 1, np.int64)
-            np.minimum.at(least, of, doc)
+            least = _least(doc, of, len(pick))
             mins = least[of]
             # grams with different contexts: sort their windows to the full depth
             _, gram, n = np.unique(h[pick], return_inverse=True, return_counts=True)
@@ -254,8 +273,7 @@ def _sorted_windows(width: int):
                 windows = np.lib.stride_tricks.sliding_window_view(ctx[pick[part]], width, axis=1)[c, reach - back]
                 label = common.msd_groups([(gram[part[c]] << 8 | back).astype(np.uint64), *_as_digits(windows)])
                 _, of_w = np.unique(label, return_inverse=True)
-                w_least = np.full(of_w.max() + 1, 2**63 - 1, np.int64)
-                np.minimum.at(w_least, of_w, least[part[c]])
+                w_least = _least(least[part[c]], of_w, of_w.max() + 1)
                 better = np.flatnonzero(w_least[of_w] < least[part[c]])
                 odd_which.append(part[c[better]])
                 odd_back.append(back[better].astype(np.uint8))
@@ -266,9 +284,7 @@ def _sorted_windows(width: int):
         if len(low):
             label = common.msd_groups(_as_digits(rows))
             _, of_w = np.unique(label, return_inverse=True)
-            w_least = np.full(of_w.max() + 1, 2**63 - 1, np.int64)
-            np.minimum.at(w_least, of_w, low)
-            low = w_least[of_w]
+            low = _least(low, of_w, of_w.max() + 1)[of_w]
         out, at, at_w = [], 0, 0
         for x in got:
             n, w = len(x[0]), len(x[4])
@@ -336,15 +352,13 @@ def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
 
     def emit_windows(table, replies):
         batch = _Batch(table, width, buckets)
-        batch.heard(replies.get(0, {}))
+        batch.heard(replies[0])
         return batch.window_messages()
 
     def finish(table, replies):
         batch = _Batch(table, width, buckets)
-        batch.heard(replies.get(0, {}))
-        starts = batch.removed(replies[1])
-        rep_of = np.searchsorted(batch.offsets, starts, "right") - 1
-        ends = np.searchsorted(rep_of, np.arange(len(batch.reps) + 1))
+        starts = batch.removed(replies.get(1, {}))
+        ends = np.searchsorted(batch.rep_of(starts), np.arange(len(batch.reps) + 1))
         place = {r: k for k, r in enumerate(batch.reps)}
         spans, kept, gone = [], [], []
         for row, text in enumerate(batch.texts):
@@ -366,7 +380,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
         names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
         return pa.table(out + ([table["carry"]] if carry else []), names=names + (["carry"] if carry else []))
 
-    return common.exchange_rounds(rows, batches, buckets, [(emit_grams, _repeated), (emit_windows, _sorted_windows(width))], finish, kind)
+    exchange = common.Exchange(rows, batches)
+    grams = exchange.round(0, emit_grams, _repeated)
+    return exchange.finish(finish, kind, exchange.round(1, emit_windows, _sorted_windows(width), grams))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
