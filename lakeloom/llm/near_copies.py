@@ -1,17 +1,20 @@
-"""Near copies by exact shingle similarity: pairs of texts whose Jaccard similarity is 0.8 or more, none lost.
+"""Shingle similarity for near copies: pairs of texts whose Jaccard similarity is 0.8 or more, none lost.
+
+``simhash.similar_groups`` links texts by their fingerprints first; this
+module verifies its links, and finds those that 64 bits cannot show.
 
 All shingles of the corpus are put in one order: those in few texts first,
 then by hash.  Two texts of similarity t share at least t n of either's n
 shingles, so the first n - ceil(t n) + 1 shingles of both have one in common
 (prefix filter).  A shingle that only one text holds takes a place but is
 never looked up, so most texts that are nobody's copy have no postings at
-all.  Frequencies travel by ``exchange_rounds``; a frequency that collides
+all.  Frequencies travel by ``common.Exchange``; a frequency that collides
 only moves a shingle in the order, alike for all texts.
 
 Pairs are verified by their whole shingle sets (64-bit hashes).  A large group
-of copies is not compared pair by pair: in a few rounds each text of a posting
-is compared with one that is drawn from those of about its size, and then only
-pairs that are not yet in one component.
+of copies is not compared pair by pair: each text of a posting is compared
+with one that is drawn from those of about its size, and then only pairs that
+are not yet in one component.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ NUM, DEN = 4, 5
 #: Bytes of text whose shingles are hashed at once.
 SLICE_BYTES = 1 << 19
 #: Rounds of comparing with a drawn text before all pairs that are left.
-PIVOTS = 2
-FOUND = "doc_id bigint, copy bigint, key bigint, n int, prefix binary, shingles binary"
+PIVOTS = 1
+FOUND = "doc_id bigint, copy bigint, key bigint, n int, fp bigint, prefix binary, shingles binary"
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 
 
@@ -69,13 +72,21 @@ def _sliced(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarra
     return out[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
+def printed(h: np.ndarray) -> int:
+    """SimHash of shingle hashes: bits that over half of them have set, as a signed integer."""
+    total = np.zeros(64, np.int64)
+    for k in range(0, len(h), 4096):
+        total += np.unpackbits(h[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0])
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def prefixes(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FOUND of every row: copy: hash of the text; key: that of its words; prefix: places and hashes to look up, and shingles: null for a text that cannot have a near copy."""
+    """FOUND of every row: copy: hash of the text; key: that of its words; fp: fingerprint, prefix: places and hashes to look up, and shingles: null for a text that cannot have a near copy."""
     rows = common.prepared(docs.withColumn("__copy", F.xxhash64(F.col(f"`{text_col}`"))), id_col, text_col, carry=["__copy"])
     batches, buckets = common.sizes(common.text_bytes(rows))
 
@@ -87,7 +98,7 @@ def prefixes(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
         h, count = np.unique(shingle_sets(common.texts_of(table), shingle)[0], return_counts=True)
         ends = dealt(h)
         low, few = h.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
-        return {b: common.packed(low[ends[b] : ends[b + 1]], few[ends[b] : ends[b + 1]]) for b in range(buckets)}
+        return {b: common.packed(low[ends[b] : ends[b + 1]], few[ends[b] : ends[b + 1]]) for b in np.flatnonzero(np.diff(ends)).tolist()}
 
     def answer(_ids, bodies):
         got = [common.unpacked(b, np.uint32, np.uint8) for b in bodies]
@@ -101,26 +112,30 @@ def prefixes(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col
         texts = common.texts_of(table)
         h, begin = shingle_sets(texts, shingle)
         all_h = np.unique(h)
-        rank = np.concatenate([common.unpacked(replies[0][b], np.uint8)[0] for b in range(buckets)])[np.searchsorted(all_h, h)]
+        got = replies.get(0, {})
+        rank = np.concatenate([np.zeros(0, np.uint8), *[common.unpacked(got[b], np.uint8)[0] for b in sorted(got)]])[np.searchsorted(all_h, h)]
         n = np.diff(begin)
         most = n + -NUM * n // DEN + 1  # n - ceil(t n) + 1
         alone = np.concatenate([[0], np.cumsum(rank == 0)])
         alone = alone[begin[1:]] - alone[begin[:-1]]
-        prefix, sets = [], []
+        prefix, sets, prints = [], [], []
         for i in range(len(texts)):
             if alone[i] >= most[i] or not n[i]:
                 prefix.append(None)
                 sets.append(None)
+                prints.append(None)
                 continue
             mine, r = h[begin[i] : begin[i + 1]], rank[begin[i] : begin[i + 1]]
             first = np.lexsort((mine, r))[: most[i]]
             place = np.flatnonzero(r[first] > 0)
             prefix.append(common.packed(place.astype(np.int32), mine[first[place]]))
             sets.append(common.packed(mine))
+            prints.append(printed(mine))
         key = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
-        return pa.table({"doc_id": table["doc_id"], "copy": table["carry"].combine_chunks().field("__copy"), "key": key, "n": n, "prefix": pa.array(prefix, pa.binary()), "shingles": pa.array(sets, pa.binary())})
+        return pa.table({"doc_id": table["doc_id"], "copy": table["carry"].combine_chunks().field("__copy"), "key": key, "n": n, "fp": pa.array(prints, pa.int64()), "prefix": pa.array(prefix, pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return common.exchange_rounds(rows, batches, buckets, [(emit, answer)], finish, FOUND)
+    exchange = common.Exchange(rows, batches)
+    return exchange.finish(finish, FOUND, exchange.round(0, emit, answer))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +156,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.release()
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """a, b: pairs of keys of similarity 0.8 or more that join all such pairs into their components.  texts: key, n, prefix, shingles, one row per key."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b: keys) of similarity 0.8 or more."""
+    one, two = texts.select(F.col("key").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    return common.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
+
+
+def links(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b: pairs of keys of similarity 0.8 or more that, with the known ones, join all such pairs into their components.  texts: key, n, prefix, shingles, one row per key."""
     postings = common.written(texts.select("key", "n", "prefix").mapInArrow(_postings, "h bigint, key bigint, n int, place int"), "postings")
 
     # Of the first shingle that a pair shares: what is left from there on must hold the 4 (n + m) / 9 shingles that they share at least.
@@ -150,13 +171,11 @@ def links(texts: DataFrame) -> DataFrame:
         left = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
         return left * (NUM + DEN) >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        one, two = texts.select(F.col("key").alias("a"), F.col("shingles").alias("x")), texts.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-        return common.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint"), "links")
-
     pairs = lambda found: found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    done, rooted = None, postings.withColumn("root", F.col("key"))
+    done = known
     for number in range(PIVOTS + 1):
+        roots = common.components(done)
+        rooted = common.written(postings.join(roots, postings["key"] == roots["node"], "left").select("h", "key", "n", "place", F.coalesce("root", "key").alias("root")), "rooted")
         apart = (F.col("x.h") == F.col("y.h")) & may("x", "y")
         if number < PIVOTS:
             group = rooted.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(number / 2)))  # bounds move, so near sizes meet
@@ -165,22 +184,5 @@ def links(texts: DataFrame) -> DataFrame:
             found = group.alias("x").join(pivot.alias("y"), apart & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
         else:
             found = rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.root") < F.col("y.root")))
-        more = verified(pairs(found))
-        done = more if done is None else done.unionByName(more)
-        if number < PIVOTS:
-            roots = common.components(done)
-            rooted = common.written(postings.join(roots, postings["key"] == roots["node"], "left").select("h", "key", "n", "place", F.coalesce("root", "key").alias("root")), "rooted")
+        done = done.unionByName(verified(pairs(found), texts))
     return done
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy, root of every row: rows of one root are linked by similarity 0.8 or more.
-
-    Texts are lower-cased (A-Z), words are runs without ASCII white space, and
-    the similarity is the Jaccard one of the distinct shingles.  Texts without
-    words, and null ones, are copies of each other and of nothing else.
-    """
-    found = common.written(prefixes(docs, shingle, id_col, text_col), "prefixes")
-    texts = common.written(found.filter("prefix is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "prefix", "shingles")]), "texts")
-    roots = common.components(links(texts))
-    return found.join(roots, found["key"] == roots["node"], "left").select("doc_id", "copy", F.coalesce("root", "key").alias("root"))

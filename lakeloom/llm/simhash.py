@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm import common
+from lakeloom.llm import common, near_copies
 
 #: Generator polynomial of the binary Golay code, its length and covering radius.
 POLY, N, RADIUS = 0b101011100011, 23, 3
@@ -100,8 +100,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return common.prepared(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """a, b: the pairs of distinct fingerprints (column fp) that differ in at most ``threshold`` bits."""
+def _placed(prints: DataFrame, threshold: int) -> DataFrame:
+    """anchor, fp, centre: the anchors of each fingerprint (column fp), and whether it stands there as a centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,13 +111,26 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
                 i, anchor, centre = replicas(part, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[i]), pa.array(centre)], names=["anchor", "fp", "centre"])
 
-    placed = prints.select("fp").mapInArrow(run, "anchor bigint, fp bigint, centre boolean")
+    return prints.select("fp").mapInArrow(run, "anchor bigint, fp bigint, centre boolean")
+
+
+def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
+    """a, b: the pairs of distinct fingerprints (column fp) that differ in at most ``threshold`` bits."""
+    placed = _placed(prints, threshold)
     centres = placed.filter("centre").select("anchor", F.col("fp").alias("a"))
     others = placed.select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     return centres.join(others, "anchor").filter(near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def stars(prints: DataFrame, threshold: int = 2) -> DataFrame:
+    """a, b: for a fingerprint b the least other one a that is the least centre of an anchor of b and differs in at most ``threshold`` bits: one link at most for each, however many lie close."""
+    placed = _placed(prints, threshold)
+    least = placed.filter("centre").groupBy("anchor").agg(F.min("fp").alias("a"))
+    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= threshold) & (F.col("a") != F.col("fp"))
+    return placed.join(least, "anchor").filter(near).groupBy(F.col("fp").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links reach, itself included.
 
@@ -136,6 +149,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_co
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, threshold: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, copy (hash of the text), root of every row: rows of one root are linked by a Jaccard similarity of 0.8 or more of their distinct shingles.
+
+    Anchors link each fingerprint (of the distinct shingles) with one that
+    differs in ``threshold`` bits or fewer, and each link is verified by the
+    shingles themselves.  At similarity 0.8 fingerprints differ in about ten
+    bits, so what they cannot show is found by ``near_copies.links``, for
+    texts that are not in one component yet.  Texts are lower-cased (A-Z), words are
+    runs without ASCII white space; fewer words than a shingle are one
+    shingle.  Texts without words, and null ones, are copies of each other
+    and of nothing else.  An empty table gives an empty result.
+    """
+    found = common.written(near_copies.prefixes(docs, shingle, id_col, text_col), "prefixes")
+    texts = common.written(found.filter("prefix is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "prefix", "shingles")]), "texts")
+    groups = common.written(texts.groupBy("fp").agg(F.min("key").alias("least")), "prints")
+    same = texts.join(groups, "fp").filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    ends = lambda c: groups.select(F.col("fp").alias(c), F.col("least").alias(f"key_{c}"))
+    close = stars(groups, threshold).join(ends("a"), "a").join(ends("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    by_anchor = near_copies.verified(same.unionByName(close), texts)
+    roots = common.components(near_copies.links(texts, by_anchor))
+    return found.join(roots, found["key"] == roots["node"], "left").select("doc_id", "copy", F.coalesce("root", "key").alias("root"))
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.reading(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
