@@ -1,10 +1,11 @@
 """Token counts by a separator scan over flat, unindexed token files.
 
 A token file is nothing but identifiers of fixed width; an end-of-document
-identifier closes each document.  Blocks are searched one by one, vectorised
-and without knowing where documents begin; a two-level prefix scan over block
-summaries (inside runs of 1,024 blocks, then over the runs) then tells each
-block which document it opens in and how many of its tokens came before.
+identifier closes each document.  Files are read by byte ranges, block by
+block.  Blocks are searched one by one, vectorised and without knowing where
+documents begin; a two-level prefix scan over block summaries (inside runs of
+64 blocks, then over the runs) then tells each block which document it opens
+in and how many of its tokens came before.
 """
 
 from __future__ import annotations
@@ -19,21 +20,41 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, common
 
-#: Tokens of a block, and blocks of a run.
-BLOCK, RUN = 1 << 15, 1024
+#: Tokens of a block, blocks of a run, and blocks that one range reads.
+BLOCK, RUN, RANGE = 1 << 15, 64, 256
 
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
-    """Flat binary token files as blocks: file, block, body.
+    """Flat binary token files below a path (or a glob), as blocks: file, block, body.
 
-    A file must be under 2 GB (Spark reads it as one value) and hold whole
-    identifiers; larger corpora are sharded, as training readers expect.
+    Each task reads ranges of RANGE blocks, so a file may have any size.  An
+    empty file is one empty block.  Ranges are read through pyarrow's file
+    systems (local, hdfs, s3, gs); a path that those do not know is read by
+    Spark instead, file by file, and there a file must be under 2 GB.
     """
     width = np.dtype(dtype).itemsize
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    step = BLOCK * width
-    starts = F.when(F.col("length") > 0, F.expr(f"sequence(0L, length - 1, {step}L)")).otherwise(F.expr("array(0L)"))
-    return whole.select("file", "content", F.posexplode(starts).alias("block", "start")).select("file", F.col("block").cast("bigint"), F.expr(f"substring(content, cast(start + 1 as int), {step})").alias("body"))
+    step, span = BLOCK * width, BLOCK * width * RANGE
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if path.split("://")[0] not in ("file", "hdfs", "s3", "s3a", "gs") and "://" in path:
+        starts = F.when(F.col("length") > 0, F.expr(f"sequence(0L, length - 1, {step}L)")).otherwise(F.expr("array(0L)"))
+        whole = listed.select(F.col("path").alias("file"), "content", F.posexplode(starts).alias("block", "start"))
+        return whole.select("file", F.col("block").cast("bigint"), F.expr(f"substring(content, cast(start + 1 as int), {step})").alias("body"))
+    starts = F.when(F.col("length") > 0, F.expr(f"sequence(0L, length - 1, {span}L)")).otherwise(F.expr("array(0L)"))
+    ranges = listed.select(F.col("path").alias("file"), "length", F.explode(starts).alias("start"))  # names and lengths only: no content is read
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, length, start in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "start")), strict=True):
+                where = "file:///" + file[5:].lstrip("/") if file.startswith("file:") else file.replace("s3a://", "s3://", 1)
+                store, name = fs.FileSystem.from_uri(where)
+                with store.open_input_file(name) as f:
+                    for at in range(start, max(start + 1, min(length, start + span)), step):
+                        body = f.read_at(min(step, length - at), at) if length else b""
+                        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step], pa.int64()), pa.array([body], pa.binary())], names=["file", "block", "body"])
+
+    return ranges.repartition("file", "start").mapInArrow(run, "file string, block bigint, body binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
@@ -82,38 +103,34 @@ def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataF
     return closed.unionByName(rest)
 
 
-def token_files(docs: DataFrame, vocabulary: str | None = None, separator: int = bpe.SPECIAL_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes texts into flat streams of 16-bit identifiers, cut into blocks without regard to documents.
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, separator: int = bpe.SPECIAL_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes texts into flat files of 16-bit identifiers below path, one for each partition; returns shard, ordinal, doc_id of every document.
 
-    file, block, body, and in a file's first block the ids of its documents in
-    order.  Null texts are empty documents.
+    A file is its documents' identifiers, each document closed by the
+    separator, and nothing else.  shard is the number in a file's name, ordinal
+    a document's place in it.  docs must give the same partitions each time it
+    is read, as a table does.  Null and empty texts are empty documents.
     """
-    rows, path = common.prepared(docs, id_col, text_col), vocabulary or bpe.default_vocabulary()
+    rows, codec_path = common.prepared(docs, id_col, text_col), vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = bpe.codec(path, False)
-        from pyspark import TaskContext
-
-        task, number = TaskContext.get().partitionId(), 0
-        end = np.array([separator], np.uint32)
+        c = bpe.codec(codec_path, False)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                stream = np.concatenate([x for t in part.column("text").cast(pa.binary()).to_pylist() for x in (c.encode(t), end)]).astype("<u2").tobytes()
-                bodies = [stream[k : k + 2 * BLOCK] for k in range(0, len(stream), 2 * BLOCK)]
-                ids = [part.column("doc_id").to_pylist()] + [None] * (len(bodies) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"] * len(bodies)), pa.array(range(len(bodies)), pa.int64()), pa.array(bodies, pa.binary()), pa.array(ids, pa.list_(pa.int64()))], names=["file", "block", "body", "doc_ids"])
-                number += 1
+            ids = [c.encode(t).astype("<u2").tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
         c.forget()
 
-    return rows.mapInArrow(run, "file string, block bigint, body binary, doc_ids array<bigint>")
+    # A line of text is any bytes, and the line separator the identifier's two: the writer adds nothing else.
+    lines = rows.mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
+    end = int(separator).to_bytes(2, "little").decode("latin-1")
+    lines.write.option("maxRecordsPerFile", 0).option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    placed = rows.select("doc_id", F.monotonically_increasing_id().alias("place"))
+    return placed.select(F.shiftright("place", 33).cast("int").alias("shard"), F.expr("place & 8589934591").alias("ordinal"), "doc_id")
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens of every document, counted in token files written from the table."""
     where = f"{common.shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files(common.reading(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(where)
-    blocks = spark.read.parquet(where)
-    counts = count_tokens(blocks, bpe.SPECIAL_ID)
-    names = blocks.filter("block = 0").select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
-    return names.join(counts, [names["file"] == counts["file"], names["ordinal"].cast("bigint") == counts["ordinal"]]).select("doc_id", "n_tokens")
+    names = write_token_files(common.reading(spark, sf_dir, "documents"), where)
+    counts = count_tokens(read_token_files(spark, where), bpe.SPECIAL_ID).withColumn("shard", F.regexp_extract("file", "/part-([0-9]+)-[^/]*$", 1).cast("int"))
+    return names.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens")

@@ -105,6 +105,47 @@ def test_flat_files(spark, tmp_path):
     assert got == {f: b for f, s in streams.items() if (b := brute(s, 7))}
 
 
+def test_files_of_many_ranges_and_runs(spark, tmp_path, monkeypatch):
+    """Blocks of 8 ids, ranges of 4 blocks, runs of 64: both levels of the scan are at work, and documents cross all of them."""
+    monkeypatch.setattr(token_counts, "BLOCK", 8)
+    monkeypatch.setattr(token_counts, "RANGE", 4)
+    r = random.Random(8)
+    streams = {f"{k}.bin": [r.choice([7] + [1, 2, 3] * w) for _ in range(6000)] for k, w in enumerate((1, 10, 900))}
+    for name, s in streams.items():
+        (tmp_path / name).write_bytes(np.array(s, "<u2").tobytes())
+    blocks = token_counts.read_token_files(spark, f"file://{tmp_path}")
+    assert blocks.count() == 3 * 750 and 750 > 2 * token_counts.RUN
+    got = {}
+    for x in sorted(token_counts.count_tokens(blocks, 7).collect()):
+        got.setdefault(x.file.rsplit("/", 1)[1], []).append((x.n_tokens, x.closed))
+    assert got == {f: b for f, s in streams.items() if (b := brute(s, 7))}
+
+
+def test_written_files_are_flat_and_hold_all_kinds_of_texts(spark, tmp_path, library):
+    texts = [None, "", "a b", "é" * 40_000, "x\ny\r\n\0z", "a b", "<|endoftext|>", "日本 \u2028 end"]
+    df = spark.createDataFrame([(k // 2, t, 1, "s") for k, t in enumerate(texts)] + [(None, "n", 1, "s")], "doc_id bigint, text string, ids int, value string").repartition(3)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    names = token_counts.write_token_files(df, str(tmp_path / "tokens"))
+    library.encode_special_tokens = True
+    want = [library.encode(r.text or "", add_special_tokens=False).ids for r in df.collect()]
+    library.encode_special_tokens = False
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "tokens").glob("part-*")))
+    assert sorted("".join(map(str, [*w, bpe.SPECIAL_ID])) for w in want) == sorted("".join(map(str, x)) for x in cut(np.frombuffer(whole, "<u2").tolist()))
+    assert names.count() == len(want) and sorted(str(r.doc_id) for r in names.collect()) == sorted(str(r.doc_id) for r in df.collect())
+    none = df.limit(0)
+    assert token_counts.write_token_files(none, str(tmp_path / "none")).count() == 0
+
+
+def cut(stream):
+    out, one = [], []
+    for x in stream:
+        one.append(x)
+        if x == bpe.SPECIAL_ID:
+            out.append(one)
+            one = []
+    return out
+
+
 def test_token_count_query(spark, sf, library):
     library.encode_special_tokens = True
     got = {r.doc_id: r.n_tokens for r in token_counts.op1_token_counts(spark, sf).collect()}
