@@ -4,10 +4,12 @@ An item's signature is the bottom of its MinHash order: with n distinct
 shingles of which ``need`` must be found, the n - need + 1 shingles of least
 hash.  A document that holds ``need`` of them misses at most n - need, so it
 holds one of the signature: the search loses no pair, however long the
-document.  Items are partitioned by size (powers of two), and each partition
-has its own hash bound, the largest hash of its signatures; a document's
-shingles above all bounds are never looked up.  Candidates are then verified
-by exact containment of the shingles' words.
+document.  Items are partitioned by size (powers of two).  Each partition has
+its own hash bound, the largest hash of its signatures, and its own lookup: a
+document's shingle is looked up in just the partitions whose bound it does
+not exceed, and a candidate of a partition must have as many distinct
+shingles as the partition's smallest item needs.  What is left is verified by
+exact containment of the shingles' words.
 
 DataFrame operations only.
 """
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import common
 
-#: Signature rows, and candidate documents, up to which a side is broadcast; beyond, Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which signatures, items or candidates' names are broadcast; beyond, Spark shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def _words(text: str) -> Column:
@@ -39,40 +41,44 @@ def _shingles(k: int) -> Column:
     return F.array_distinct(F.transform(_starts(k), lambda i: F.array_join(F.slice("w", i, k), " ")))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_text: bool = False) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles: the pairs of which a document holds at least the share ``threshold`` of an item's distinct shingles.
 
     Words are runs without ASCII white space, lower-cased.  Items of fewer
     words than a shingle have no shingles and are never found; neither are
-    null texts.  Repeated documents give one row per id and item; where rows
-    of one id, or of one item, have several texts, the pair with the largest
-    share counts.  A null doc_id is an id like any other; a null item_id too.
+    null texts.  Documents of any length are searched whole.  Repeated
+    documents give one row per id and item; where rows of one id, or of one
+    item, have several texts, the pair with the largest share counts.  A null
+    doc_id is an id like any other; a null item_id too.  With ``by_text`` rows
+    are told apart by id and text, and ``copy`` is the text's hash.  An empty
+    table of either kind gives an empty result.
     """
-    spark = docs.sparkSession
     one = items.select(F.col(f"`{item_col}`").alias("item_id"), _words(f"`{item_text}`").alias("w")).select("item_id", _shingles(shingle).alias("s"), F.array_distinct(_hashes(shingle)).alias("h")).filter(F.size("s") > 0).distinct()
     one = common.written(one.withColumn("n", F.size("s")).withColumn("need", F.ceil(F.round(F.col("n") * threshold, 6)).cast("int")).withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("item", F.xxhash64("item_id", "s")), "items")
-    signature = one.select("item", "part", F.explode(F.slice(F.array_sort("h"), 1, F.col("n") - F.col("need") + 1)).alias("hash"))
-    bounds = {r["part"]: (r["bound"], r["rows"]) for r in signature.groupBy("part").agg(F.max("hash").alias("bound"), F.count("*").alias("rows")).collect()}  # one row per power of two
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    if not bounds:
-        return spark.createDataFrame([], rows.select("doc_id").schema).crossJoin(one.select("item_id").limit(0)).select("doc_id", "item_id", F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"))
-    top = max(b for b, _ in bounds.values())
-    probes = rows.select("doc_id", F.xxhash64("text").alias("copy"), _words("text").alias("w")).select("doc_id", "copy", F.explode(F.filter(_hashes(shingle), lambda h: h <= F.lit(top))).alias("hash"))
-    sized = _sized(signature.select("item", "hash"), sum(n for _, n in bounds.values()))
-    found = common.written(probes.join(sized, "hash").select("doc_id", "copy", "item").distinct(), "candidates")
-    names = found.select("doc_id", "copy").distinct()
-    sized = _sized(names.select(F.col("doc_id").alias("d"), F.col("copy").alias("c")), names.count())
-    keyed = rows.withColumn("copy", F.xxhash64("text"))
-    texts = keyed.join(sized, keyed["doc_id"].eqNullSafe(F.col("d")) & (keyed["copy"] == F.col("c")), "left_semi")
-    texts = texts.select("doc_id", "copy", _words("text").alias("w")).select("doc_id", "copy", _shingles(shingle).alias("t"))
-    pairs = found.join(texts.withColumnsRenamed({"doc_id": "d", "copy": "c"}), found["doc_id"].eqNullSafe(F.col("d")) & (found["copy"] == F.col("c"))).join(_sized(one.select("item", "item_id", "s", "n", "need"), sum(n for _, n in bounds.values())), "item")
-    checked = pairs.select("doc_id", "item_id", F.size(F.array_intersect("s", "t")).alias("n_shared"), F.col("n").alias("n_shingles"), "need").filter("n_shared >= need")
-    best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("share"), "n_shared", "n_shingles")).alias("b"))
-    return best.select("doc_id", "item_id", "b.n_shared", "b.n_shingles")
+    signature = one.select("item", "part", "need", F.explode(F.slice(F.array_sort("h"), 1, F.col("n") - F.col("need") + 1)).alias("hash"))
+    parts = signature.groupBy("part").agg(F.max("hash").alias("bound"), F.min("need").alias("least"), F.count("*").alias("n")).collect()  # one row per power of two
+    size = (one.agg(F.sum(F.octet_length(F.array_join("s", " ")) + 100).alias("b")).first()["b"] or 0) if parts else 0
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("copy", F.xxhash64("text"))
+    top = max((r["bound"] for r in parts), default=None)
+    admits = [F.when(F.lit(r["bound"]) >= F.col("hash"), F.when(F.col("k") >= r["least"], F.lit(r["part"]))) for r in sorted(parts, key=lambda r: r["part"])]
+    hashed = rows.select("doc_id", "copy", _words("text").alias("w")).select("doc_id", "copy", F.size("w").alias("words"), F.explode(F.filter(_hashes(shingle), lambda h: h <= F.lit(top).cast("bigint"))).alias("hash"))
+    hashed = hashed.withColumn("k", F.col("words") - shingle + 1)
+    probes = hashed.select("doc_id", "copy", "hash", F.explode(F.array_compact(F.array(*admits)) if admits else F.expr("cast(array() as array<int>)")).alias("part"))
+    sized = _sized(signature.select("item", "part", "hash"), 32 * sum(r["n"] for r in parts))
+    found = common.written(probes.join(sized, ["part", "hash"]).select("doc_id", "copy", "item").distinct(), "candidates")
+    names = found.select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct()
+    sized = _sized(names, 40 * names.count())
+    texts = rows.join(sized, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["copy"] == F.col("c")), "left_semi")
+    texts = texts.select("doc_id", "copy", _words("text").alias("w")).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), _shingles(shingle).alias("t"))
+    pairs = found.join(texts, found["doc_id"].eqNullSafe(F.col("d")) & (found["copy"] == F.col("c"))).join(_sized(one.select("item", "item_id", "s", "n", "need"), size), "item")
+    checked = pairs.select("doc_id", "copy", "item_id", F.size(F.array_intersect("s", "t")).alias("n_shared"), F.col("n").alias("n_shingles"), "need").filter("n_shared >= need")
+    key = ["doc_id", "copy", "item_id"] if by_text else ["doc_id", "item_id"]
+    best = checked.groupBy(*key).agg(F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("share"), "n_shared", "n_shingles")).alias("b"))
+    return best.select(*key, "b.n_shared", "b.n_shingles")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

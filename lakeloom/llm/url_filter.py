@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lakeloom.llm import common
 
 RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
-#: Longest context, symbols that a model allows for, and distinct grams up to which their ratios are broadcast.
-ORDER, SYMBOLS, BROADCAST_ROWS = 4, 256, 1_000_000
+#: Longest context, symbols that a model allows for, and bytes of distinct grams up to which their ratios are broadcast.
+ORDER, SYMBOLS, BROADCAST_BYTES = 4, 256, 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,24 +41,35 @@ def rule_of(host: Column, path: Column, rules: tuple[str, ...]) -> Column:
     return out
 
 
-def _grams(text: Column) -> Column:
-    """Every character and the end, each with the four before it."""
-    padded = F.concat(F.lit("\x02" * ORDER), text, F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+def _grams(texts: DataFrame) -> DataFrame:
+    """url, hit, n, gram: every character and the end, each with the four before it; linear in the text, which is taken apart once and not repeated."""
+    padded = F.concat(F.lit("\x02" * ORDER), F.col("seen"), F.lit("\x03"))
+    chars = F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice(chars, j + 1, F.length("seen") + 1) for j in range(ORDER + 1)])  # not by place: that would take the text apart again for each
+    each = F.transform(shifted, lambda z: F.concat(*[z[str(j)] for j in range(ORDER + 1)]))
+    return texts.select("url", "hit", "n", F.explode(each).alias("gram"))
 
 
 def _ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """gram, r: log P(last character | those before) accepted less rejected, in millionths, of every distinct gram."""
-    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
-    low = counts.select(orders, "gram", "good", "bad").select("k", F.expr("substring(gram, -(k + 1))").alias("g"), "good", "bad").groupBy("k", "g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    seen = low.select("k", F.expr("left(g, k)").alias("c"), "good", "bad").groupBy("k", "c").agg(*[f(x).alias(n) for x in ("good", "bad") for f, n in ((F.sum, f"{x}_n"), (lambda x: F.sum((F.col(x) > 0).cast("bigint")), f"{x}_t"))])
-    asked = grams.select("gram").distinct().select("gram", orders).select("gram", "k", F.expr("substring(gram, -(k + 1))").alias("g")).withColumn("c", F.expr("left(g, k)"))
-    each = asked.join(low, ["k", "g"], "left").join(seen, ["k", "c"], "left").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", *[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("good", "bad", "good_n", "bad_n", "good_t", "bad_t")]))).alias("o"))
+    """gram, r: log P(last character | those before) accepted less rejected, in millionths, of every distinct gram.
 
-    def log_p(x: str) -> Column:
-        return F.log(F.aggregate("o", F.lit(1.0 / SYMBOLS), lambda p, s: F.when(s[f"{x}_n"] > 0, (s[x] + s[f"{x}_t"] * p) / (s[f"{x}_n"] + s[f"{x}_t"])).otherwise(p)))
-
-    return each.select("gram", F.round((log_p("good") - log_p("bad")) * 1e6).cast("bigint").alias("r"))
+    From short grams to long ones: those of one order are summed up before
+    they meet their context, so a context that all URLs share has a row for
+    each symbol, not for each gram.
+    """
+    known = common.written(grams.select("gram").distinct().join(counts, "gram", "left").select("gram", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("good", "bad")]), "grams")
+    p = None
+    for k in range(ORDER + 1):
+        low = known.groupBy(F.expr(f"right(gram, {k + 1})").alias("g")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")) if k < ORDER else known.withColumnRenamed("gram", "g")
+        context = low.groupBy(F.expr(f"left(g, {k})").alias("c")).agg(*[f(x).cast("double").alias(f"{x}_{n}") for x in ("good", "bad") for n, f in (("n", F.sum), ("t", lambda x: F.sum((F.col(x) > 0).cast("bigint"))))])
+        each = low.withColumn("c", F.expr(f"left(g, {k})")).join(context, "c")
+        if k:
+            each = each.withColumn("s", F.expr(f"right(g, {k})")).join(p, "s")
+        else:
+            each = each.withColumns({"p_good": F.lit(1.0 / SYMBOLS), "p_bad": F.lit(1.0 / SYMBOLS)})
+        smoothed = [F.when(F.col(f"{x}_n") > 0, (F.col(x).cast("double") + F.col(f"{x}_t") * F.col(f"p_{x}")) / (F.col(f"{x}_n") + F.col(f"{x}_t"))).otherwise(F.col(f"p_{x}")).alias(f"p_{x}") for x in ("good", "bad")]
+        p = each.select(F.col("g").alias("s"), *smoothed)
+    return p.select(F.col("s").alias("gram"), F.round((F.log("p_good") - F.log("p_bad")) * 1e6).cast("bigint").alias("r"))
 
 
 def judged(pages: DataFrame, rules: tuple[str, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -67,23 +78,24 @@ def judged(pages: DataFrame, rules: tuple[str, ...] = RULES, id_col: str = "page
     rule: the longest that fits, without its verdict, else null.  score: log
     likelihood ratio per character in millionths, null where a rule decides.
     A null url, or one without ``://``, has empty host and path and is judged
-    by the models as an empty string.  Repeated rows get equal results.
+    by the models as an empty string.  Repeated rows get equal results.  Work
+    is linear in the length of a url.  Null ids stay; extra columns are left out.
     Where rules accept none, or reject none, the threshold is 0.
     """
     host, path, rest = parts(F.col(f"`{url_col}`"))
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), host.alias("host"), path.alias("path"), rest.alias("rest"))
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("seen", F.concat("host", F.expr("substring(rest, length(host) + 1)")))
-    texts = common.written(rows.groupBy("seen", "hit").agg(F.count("*").alias("n")), "urls")
+    texts = common.written(rows.groupBy("seen", "hit").agg(F.count("*").alias("n")).withColumn("url", F.monotonically_increasing_id()), "urls")
     good = F.startswith("hit", F.lit("allow"))
-    grams = texts.select("seen", "hit", "n", F.explode(_grams(F.col("seen"))).alias("gram"))
+    grams = _grams(texts)
     counts = grams.filter("hit is not null").groupBy("gram").agg(F.sum(F.when(good, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(good, 0).otherwise(F.col("n"))).alias("bad"))
     ratios = common.written(_ratios(grams, counts), "ratios")
-    known = ratios.count()
-    ratios = F.broadcast(ratios) if known <= BROADCAST_ROWS else ratios
-    scored = grams.join(ratios, "gram").groupBy("seen", "hit", "n").agg(F.expr("sum(r) div count(*)").alias("score"))
+    size = ratios.agg(F.sum(F.octet_length("gram") + 24).alias("b")).first()["b"] or 0
+    ratios = F.broadcast(ratios) if size <= BROADCAST_BYTES else ratios
+    scored = grams.join(ratios, "gram").groupBy("url", "hit", "n").agg(F.expr("sum(r) div count(*)").alias("score"))
     scored = common.written(scored, "scores")
     at = calibrated(scored.filter("hit is not null").select((F.startswith("hit", F.lit("allow"))).alias("good"), "score", "n"))
-    verdicts = scored.filter("hit is null").select(F.col("seen").alias("s"), "score")
+    verdicts = scored.filter("hit is null").select("url", "score").join(texts.select("url", F.col("seen").alias("s")), "url")
     out = rows.join(verdicts, rows["hit"].isNull() & (rows["seen"] == verdicts["s"]), "left")
     verdict = F.when(F.col("hit").isNotNull(), F.split_part("hit", F.lit(" "), F.lit(1))).when(F.col("score") >= at, "allow").otherwise("block")
     return out.select("page_id", "host", "path", F.expr("substring(hit, 7)").alias("rule"), verdict.alias("verdict"), "score")

@@ -112,10 +112,26 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     want = brute_leaks(docs, items)
     assert len(want) > 15
     assert {tuple(x) for x in decontam.contained(dd, ii).collect()} == want
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     assert {tuple(x) for x in decontam.contained(dd, ii).collect()} == want
 
 
+def test_leak_in_a_very_long_document_and_rows_of_one_id(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    long = " ".join(f"w{k % 9973}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long), (None, item), (None, "clean text of no id at all"), (3, item), (3, "another text of the same id")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.contained(docs, items).collect()), key=str) == [(1, 7), (3, 7), (None, 7)]
+    leaks = decontam.contained(docs, items, by_text=True)
+    assert leaks.count() == 3 and leaks.columns == ["doc_id", "copy", "item_id", "n_shared", "n_shingles"]
+
+
+def test_urls_of_any_length(spark):
+    urls = ["http://a.org/" + "x/é😀y" * 40_000, "http://b.com/de/" + "q" * 200_000, "http://c.net/" + "q1" * 100_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()}
+    assert got == {0: ("org/", "allow"), 1: ("com/de/", "block"), 2: (None, "block")}
+
+
 def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
