@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import common
 
 #: Bytes of a window, states of a direction, windows computed at once.
 WINDOW, STATES, AT_ONCE = 64, 8, 4096
-#: Bound of the training sample: documents of a language, windows of a document; passes over them.
-FIT_DOCS, FIT_WINDOWS, EPOCHS, SEED = 400, 4, 12, 5
+#: Bound of the training sample: documents of a language, and bytes of their whole texts; passes over them.
+FIT_DOCS, FIT_BYTES, EPOCHS, SEED = 400, 1 << 19, 4, 5
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -173,41 +173,25 @@ class Model:
 def trained(docs: DataFrame, fit_docs: int = FIT_DOCS, lang_col: str = "lang") -> Model | None:
     """The model, from texts whose language is known and whose remainder is not 0; None without any.
 
-    Every language is learned, from about ``fit_docs`` documents of each,
-    drawn by the hash of id and text, and ``FIT_WINDOWS`` windows of a
-    document.
+    Every language is learned, from whole texts of about ``fit_docs``
+    documents of each, drawn by the hash of id and text, and of these as many
+    as fit into FIT_BYTES (a text that alone is larger is not learned from).
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter("lang is not null and length(text) > 0").filter(common.remainder(5) != 0)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, 1.5 * fit_docs / n)) for k, n in counts.items()], "l string, share double")
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(draw < F.col("share")).select("lang", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, parts = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if not has_letter(text):
-                    continue
-                n = -(-len(text) // WINDOW)
-                for k in sorted({n * j // FIT_WINDOWS for j in range(FIT_WINDOWS)}):
-                    names.append(lang)
-                    parts.append(text[k * WINDOW : (k + 1) * WINDOW])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
-
-    got = sorted((r.lang, bytes(r.part)) for r in chosen.mapInArrow(cut, "lang string, part binary").collect())
+    rows = rows.filter("lang is not null and length(text) > 0").filter(common.remainder(5) != 0).filter(F.octet_length("text") <= FIT_BYTES)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    chosen = rows.join(counts, "lang").filter(draw < F.col("n").cast("double") ** -1 * (1_000_000 * fit_docs)).select("lang", "text", draw.alias("drawn"))
+    # The bound is by language, so that many languages do not meet in the driver at once with all their texts.
+    used = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("drawn", F.xxhash64("text")))
+    got = sorted((r.lang, r.text) for r in chosen.withColumn("used", used).filter(F.col("used") <= FIT_BYTES).select("lang", "text").collect())
+    got = [(lang, text.encode()) for lang, text in got if has_letter(text.encode())]
     if not got:
         return None
     languages = sorted({lang for lang, _ in got})
-    rows_, length, _ = windows([p for _, p in got])
-    label = np.array([languages.index(lang) for lang, _ in got])
-    r = np.random.default_rng(SEED)
-    most = FIT_DOCS * FIT_WINDOWS
-    take = np.concatenate([r.permutation(np.flatnonzero(label == k))[:most] for k in range(len(languages))])
-    return Model(languages).fit(rows_[take], length[take], label[take])
+    rows_, length, begin = windows([t for _, t in got])
+    label = np.repeat(np.array([languages.index(lang) for lang, _ in got]), np.diff(begin))
+    return Model(languages).fit(rows_, length, label)
 
 
 def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,6 +200,7 @@ def identified(docs: DataFrame, model: Model | None, id_col: str = "doc_id", tex
     ``und`` with score 0 if the text is null or has no letter, or if no
     language was learned.  Whole texts count; nothing but the text does.  Scores
     are rounded to millionths, below which they depend on how rows are batched.
+    Of languages with equal probability the first by name is predicted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
