@@ -20,7 +20,7 @@ from lakeloom.llm.rules_forest import labelled
 
 #: Bytes of a passage, bins of bigrams, widths of encoder and attention.
 PASSAGE, BINS, HIDDEN, ATTENTION, EXTRA = 512, 1024, 32, 16, 5
-#: Bound of the training sample: labelled documents, and bytes of one and of all; passes over them.
+#: Bound of the training sample: labelled documents, and bytes of one (larger ones are scored, but not learned from) and of all; passes over them.
 FIT_DOCS, FIT_DOC_BYTES, FIT_BYTES, EPOCHS, SEED = 3000, 1 << 18, 8 << 20, 12, 11
 
 
@@ -94,17 +94,15 @@ class Model:
 
     @staticmethod
     def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All bags at half precision, made about a quarter of a megabyte at a time to keep the driver small."""
-        parts, counts, group, size = [], [], [], 0
+        """All bags, made about a quarter of a megabyte at a time to keep the driver small."""
+        begin = np.concatenate([[0], np.cumsum([max(1, -(-len(t) // PASSAGE)) for t in texts])])
+        out, first, size = np.empty((begin[-1], BINS + EXTRA), np.float32), 0, 0
         for k, t in enumerate(texts):
-            group.append(t)
             size += len(t) + PASSAGE
             if size > 1 << 18 or k == len(texts) - 1:
-                x, begin = passages(group)
-                parts.append(x.astype(np.float16))
-                counts.append(np.diff(begin))
-                group, size = [], 0
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+                out[begin[first] : begin[k + 1]] = passages(texts[first : k + 1])[0]
+                first, size = k + 1, 0
+        return out, begin
 
     def fit(self, texts: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
         r = np.random.default_rng(seed)
@@ -117,7 +115,7 @@ class Model:
             for k in range(0, len(order), 64):
                 bags = order[k : k + 64]
                 rows = np.concatenate([np.arange(begin[b], begin[b + 1]) for b in bags])
-                grad = self.gradients(x[rows].astype(np.float32), np.concatenate([[0], np.cumsum((begin[1:] - begin[:-1])[bags])]), label[bags], weight[bags])
+                grad = self.gradients(x[rows], np.concatenate([[0], np.cumsum((begin[1:] - begin[:-1])[bags])]), label[bags], weight[bags])
                 step += 1
                 rate = 0.004 * (1 - epoch / epochs) + 0.0002
                 for n, d in grad.items():
@@ -129,7 +127,7 @@ class Model:
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model | float:
-    """The model, from labelled documents whose remainder is not 2; without two labels, the constant score of the one there is (none: 1)."""
+    """The model, from at most ``fit_docs`` labelled documents whose remainder is not 2, within FIT_DOC_BYTES and FIT_BYTES; without two labels, the constant score of the one there is (none: 1)."""
     sample = labelled(docs, labels, "quality", fit_docs, lambda c: common.remainder(4, c) != 2)
     got = sample.filter(F.octet_length("text") <= FIT_DOC_BYTES).collect()
     texts, marks, used = [], [], 0
