@@ -6,27 +6,33 @@ and, but for the last, returns the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, common, decontam, near_copies, quality_mil, suffix_dedup
+from lakeloom.llm import bpe, common, decontam, quality_mil, simhash, suffix_dedup
 
 
-def _carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """All columns but the text, which operators pass on themselves, and whether it was null."""
-    return docs.withColumn("__null", F.col("text").isNull()), [*[c for c in docs.columns if c != "text"], "__null"]
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it no column of docs."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
 
 
-def _text(column: str) -> Column:
-    return F.when(~F.col("carry.__null"), F.col(column))
+def _carried(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[str], Column]]:
+    """All columns but the text, which operators pass on themselves; and a column as text that is null where the text was."""
+    null = _free(docs, "__null")
+    return docs.withColumn(null, F.col("text").isNull()), [*[c for c in docs.columns if c != "text"], null], lambda c: F.when(~F.col(f"carry.`{null}`"), F.col(c))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.7) go."""
     model = quality_mil.trained(docs, common.reading(spark, sf_dir, "labels"))
-    rows, carry = _carried(docs)
+    rows, carry, text = _carried(docs)
     kept = quality_mil.scored(rows, model, carry=carry).filter("predicted = 1")
-    return kept.select(*[_text("text").alias(c) if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[text("text").alias(c) if c == "text" else F.col(f"carry.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by id and text; a row without an id stays only where its group has no id.
     """
-    found = common.written(near_copies.near_copies(docs), "groups")
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    found = common.written(simhash.similar_groups(docs), "groups")
+    stays = common.written(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
     several = common.written(found.join(stays, "root").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), first.alias("__first")).distinct(), "dropped")
     same = docs["doc_id"].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__copy"))
@@ -46,29 +52,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes and more that a document of smaller id holds too are cut; a document that is cut whole keeps its row, with an empty text."""
-    rows, carry = _carried(docs)
+    rows, carry, text = _carried(docs)
     cut = suffix_dedup.repeated_spans(rows, carry=carry, as_text=True)
     length = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carry.n_chars"))
-    new = {"text": _text("kept"), "n_chars": length}
+    new = {"text": text("kept"), "n_chars": length}
     return cut.select(*[new.get(c, F.col(f"carry.`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths of a benchmark item's five-word shingles go."""
-    leaks = common.written(decontam.contained(docs, common.reading(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    """Documents that hold four fifths of a benchmark item's five-word shingles go; others of the same id, or without one, stay."""
+    found = decontam.contained(docs, common.reading(spark, sf_dir, "benchmark"), by_text=True)
+    leaks = common.written(found.select(F.col("doc_id").alias("__leak"), F.col("copy").alias("__copy")).distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("__leak")) & (F.xxhash64(docs["text"]) == F.col("__copy")), "left_anti")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit), and whether decoding gives the text back."""
     digest = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
-    coded = bpe.decode(bpe.encode(docs.withColumn("__digest", digest("text")), carry=["doc_id", "lang", "source", "__digest"]))
-    return coded.select("carry.doc_id", "carry.lang", "carry.source", "n_tokens", "ids", (digest("decoded") == F.col("carry.__digest")).alias("exact"))
+    own = _free(docs, "__digest")
+    coded = bpe.decode(bpe.encode(docs.withColumn(own, digest("text")), carry=["doc_id", "lang", "source", own]))
+    return coded.select("carry.doc_id", "carry.lang", "carry.source", "n_tokens", "ids", (digest("decoded") == F.col(f"carry.`{own}`")).alias("exact"))
 
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-duplicates by shingle similarity", near_duplicates),
+    ("SimHash near-duplicates", near_duplicates),
     ("suffix-array de-duplication", repeated_passages),
     ("benchmark decontamination", decontamination),
     ("BPE encoding and decoding", encoding),
