@@ -8,6 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.plans.tokens import literal
+
+
+#: Around the name of a session value in a policy's text; put in when the policy is applied.
+MARK = "\ue010"
+
+
+def _bound(text: str, user: str, roles: set[str]) -> str:
+    """A policy's text for a user: a marked name stands alone in a literal, so its value is one too."""
+    for name, value in (("CURRENT_USER", user), ("CURRENT_AVAILABLE_ROLES", ",".join(sorted(roles)))):
+        text = text.replace(f"'{MARK}{name}{MARK}'", literal(value.replace(MARK, "")))
+    return text
+
 
 def partial_mask(c: Column, first: int = 0, last: int = 0, upper: str = "X", lower: str = "x", digit: str = "n") -> Column:
     """Keeps the first and last characters; capitals, other letters and numerals become signs; Unicode-aware."""
@@ -68,20 +81,27 @@ class Policies:
         return not who & set(policy.get("except", ()))
 
     def row_filter(self, table: str, user: str, roles: set[str]) -> str | None:
-        found = [f"({p['where']})" for p in self.filters if p["table"] == table and self._holds(p, user, roles)]
+        found = [f"({_bound(p['where'], user, roles)})" for p in self.filters if p["table"] == table and self._holds(p, user, roles)]
         return " AND ".join(found) or None
 
     def mask_of(self, table: str, column: str, user: str, roles: set[str]) -> dict | None:
         """The column's own mask, else that of its first tag with one."""
         for p in self.masks:
             if p["table"] == table and p["column"].lower() == column.lower() and self._holds(p, user, roles):
-                return p
+                return p | ({"expr": _bound(p["expr"], user, roles)} if "expr" in p else {})
         for tag in self.tags.get((table, column.lower()), []):
             for p in self.tag_masks:
                 if p["tag"] == tag and self._holds(p, user, roles):
-                    return p
+                    return p | ({"expr": _bound(p["expr"], user, roles)} if "expr" in p else {})
         return None
 
+    def covers(self, table: str, column: str, user: str, roles: set[str]) -> bool:
+        """Whether a user sees something else than the column as it is stored."""
+        return self.mask_of(table, column, user, roles) is not None or any(p["table"] == table and p["column"].lower() == column.lower() and self._holds(p, user, roles) for p in self.restricted)
+
+    def named(self, name: str) -> list[dict]:
+        return [p for kind in ("filters", "masks", "tag_masks") for p in getattr(self, kind) if p.get("name") == name]
+
     def governed(self, df: DataFrame, table: str, user: str, roles: set[str]) -> DataFrame:
         """Filter directly above the scan (it may use hidden columns), then masks; restricted columns are NULLs of their type.  A policy that fails denies all rows."""
         try:
@@ -107,11 +127,9 @@ class Policies:
 
     def drop(self, name: str) -> bool:
         """Removes the policies of a name; whether there were any."""
-        found = False
+        found = bool(self.named(name))
         for kind in ("filters", "masks", "tag_masks"):
-            rest = [p for p in getattr(self, kind) if p.get("name") != name]
-            found |= len(rest) < len(getattr(self, kind))
-            setattr(self, kind, rest)
+            setattr(self, kind, [p for p in getattr(self, kind) if p.get("name") != name])
         return found
 
     def effective(self, user: str, roles: set[str]) -> list[tuple[str, str, str, str | None, str | None]]:
@@ -124,7 +142,7 @@ class Policies:
         return out
 
     def allowed(self, privilege: str, table: str, user: str, roles: set[str]) -> bool:
-        """Denials win; a table without grants is open."""
+        """Denials win; a table without grants is open.  ALL is every privilege but MANAGE."""
         mine = [g for g in self.grants if g["table"] in (table, "*") and g["privilege"] in (privilege.upper(), "ALL") and g["to"] in {user, *roles, "PUBLIC"}]
         if any(g["effect"] == "deny" for g in mine):
             return False

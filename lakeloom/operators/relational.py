@@ -31,8 +31,10 @@ def groups_frame(df: DataFrame, value: Column, partition: list[str], order: list
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """For each left row, the values of the latest right row of its key at or before its time (NULLs without one).
 
-    One union, one shuffle by key, one sorted pass; no join of pairs.
+    One union, one shuffle by key, one sorted pass; no join of pairs.  A NULL
+    key equals no other.
     """
+    right = right.dropna(subset=by)
     l_rows = left.select(*[F.col(c) for c in by], F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("__v"))
     r_rows = right.select(*[F.col(c) for c in by], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(l_rows.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__v"))
     w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -60,7 +62,12 @@ def histogram(df: DataFrame, by: list[str], column: str, name: str = "histogram"
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys are spread: left rows get a salt from their content, right rows are copied to all salts."""
+    """An equi-join whose hot keys are spread: left rows get a salt from their content, right rows are copied to all salts.
+
+    Only for joins that give each copy of a right row no row of its own: inner, left, semi and anti.
+    """
+    if how.replace("_", "").removesuffix("outer") not in ("inner", "left", "semi", "leftsemi", "anti", "leftanti"):
+        raise ValueError(f"a salted join cannot be {how}: right rows are copied")
     l_rows = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     r_rows = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return l_rows.join(r_rows, [*on, "__salt"], how).drop("__salt")

@@ -11,9 +11,12 @@ metadata.
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -63,12 +66,18 @@ def partition_spec(text: str) -> dict:
     return {"column": column, "transform": kind} | ({"n": number} if number is not None else {})
 
 
-def conditions(where: str | None) -> list[tuple[str, str, Any]]:
-    """The comparisons of a column with a literal that a predicate demands at its top level; all else is left out."""
-    if not where:
-        return []
+Condition = tuple[str, str, Node]
+#: Microseconds by which no zone differs from UTC.
+ANY_ZONE = 26 * 3_600_000_000
+
+
+def conditions(items: str | list[Node] | None, alias: str | None = None) -> list[Condition]:
+    """The comparisons of a column with a literal that a predicate demands at its top level; all else is left out.
+
+    With an alias, columns may be qualified by it, and those of others are left out.
+    """
     parts: list[list[Node]] = [[]]
-    for x in parse(where):
+    for x in parse(items) if isinstance(items, str) else items or []:
         if x.key == "AND":
             parts.append([])
         elif x.key in ("OR", "BETWEEN", "CASE"):
@@ -77,19 +86,87 @@ def conditions(where: str | None) -> list[tuple[str, str, Any]]:
             parts[-1].append(x)
     out = []
     for p in parts:
-        if len(p) == 3 and p[0].kind in ("word", "quoted") and p[1].text in ("=", "<", "<=", ">", ">=") and p[2].kind in ("number", "string"):
-            out.append((p[0].name(), p[1].text, unquoted(p[2]) if p[2].kind == "string" else float(p[2].text)))
+        if len(p) == 1 and p[0].kind == "(":
+            out += conditions(p[0].items, alias)
+            continue
+        if len(p) > 2 and p[1].text == "." and alias is not None:
+            if p[0].name().lower() != alias.lower():
+                continue
+            p = p[2:]
+        if len(p) < 3 or p[0].kind not in ("word", "quoted") or p[1].text not in ("=", "<", "<=", ">", ">="):
+            continue
+        value = p[2:]
+        if len(value) == 2 and value[0].key in ("DATE", "TIMESTAMP", "TIMESTAMP_NTZ") and value[1].kind == "string":
+            value = value[1:]
+        elif len(value) == 2 and value[0].text == "-" and value[1].kind == "number":
+            value = [Node("number", f"-{value[1].text}")]
+        if len(value) == 1 and value[0].kind in ("number", "string"):
+            out.append((p[0].name(), p[1].text, value[0]))
     return out
 
 
-def may_match(entry: dict, conds: list[tuple[str, str, Any]], physical: dict[str, str]) -> bool:
-    """False only if a file's bounds rule out some comparison."""
-    for name, op, value in conds:
-        bounds = entry["bounds"].get(physical.get(name.lower(), ""))
-        if not bounds or bounds[0] is None or isinstance(bounds[0], str) != isinstance(value, str):
+def _stamp(text: str) -> int | None:
+    """Microseconds of a date, or a date and time without a zone, as Spark reads them; None for other texts."""
+    m = re.fullmatch(r"\s*(\d{4})-(\d{1,2})-(\d{1,2})(?:[ T](\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6}))?)?)?\s*", text)
+    if not m:
+        return None
+    year, month, day, hour, minute, second = (int(x or 0) for x in m.groups()[:6])
+    try:
+        at = datetime(year, month, day, hour, minute, second, tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+    except ValueError:
+        return None
+    return (at.days * 86_400 + at.seconds) * 1_000_000 + int((m[7] or "").ljust(6, "0"))
+
+
+def as_bound(value: Node, kind: Any) -> Any:
+    """A literal as it compares with a column of this type, in the form bounds are kept in; None if a file must not be left out for it."""
+    text = unquoted(value) if value.kind == "string" else value.text
+    if "\\" in text:  # perhaps an escape
+        return None
+    if kind == "string":
+        return text if value.kind == "string" else None
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        at = _stamp(text) if value.kind == "string" else None
+        return None if at is None or (kind == "date" and at % 86_400_000_000) else at
+    try:
+        number = Decimal(text.strip())
+    except ArithmeticError:
+        return None
+    if not number.is_finite():
+        return None
+    if kind == "double" or (kind == "float" and abs(number) < 1 << 24):
+        return float(number)
+    if _numeric(kind) and kind != "float" and "e" not in text.lower():  # a double would be compared as one
+        return number if value.kind == "number" or number == number.to_integral_value() else None
+    return None
+
+
+def kept_bound(value: str | None, kind: Any) -> Any:
+    """A stored bound, typed; None where there is none, or none to rely on."""
+    if not isinstance(value, str):
+        return None
+    if kind == "string":
+        return value
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return int(value)
+    if kind in ("float", "double"):
+        return None if value == "NaN" else float(value)
+    return Decimal(value)
+
+
+def may_match(entry: dict, conds: list[Condition], kinds: dict[str, tuple[str, Any]]) -> bool:
+    """False only if a file's bounds rule out some comparison.  kinds: of each column its stored name and its type."""
+    for name, op, literal in conds:
+        physical, kind = kinds.get(name.lower(), ("", None))
+        bounds, value = entry["bounds"].get(physical), as_bound(literal, kind)
+        if not bounds or value is None or bounds[2] != kind:  # no bounds, or those of an older type
             continue
-        low, high = bounds
-        if (op == "=" and not low <= value <= high) or (op in ("<", "<=") and not (low < value or (op == "<=" and low == value))) or (op in (">", ">=") and not (high > value or (op == ">=" and high == value))):
+        low, high = kept_bound(bounds[0], kind), kept_bound(bounds[1], kind)  # NaN is above all numbers: as a highest value it is no bound
+        if kind == "timestamp":  # a literal without a zone is read in the session's
+            low, high = None if low is None else low - ANY_ZONE, None if high is None else high + ANY_ZONE
+        if low is not None and ((op in ("=", "<=") and low > value) or (op == "<" and low >= value)):
+            return False
+        if high is not None and ((op in ("=", ">=") and high < value) or (op == ">" and high <= value)):
             return False
     return True
 
@@ -199,8 +276,6 @@ class Table:
     def snapshot_of(meta: dict, ref: str | int | None = None, at: str | None = None) -> dict | None:
         by_id = {s["id"]: s for s in meta["snapshots"]}
         if at is not None:
-            from datetime import datetime, timezone
-
             when = datetime.fromisoformat(at).replace(tzinfo=timezone.utc).timestamp() * 1000
             found = [e["snapshot"] for e in meta["log"] if e["at"] <= when]
             if not found:
@@ -227,17 +302,17 @@ class Table:
 
     # -- reading ---------------------------------------------------------
 
-    def read(self, ref: str | int | None = None, at: str | None = None, where: str | None = None, places: bool = False, only: set[str] | None = None, raw: bool = False) -> DataFrame:
-        """Rows of a snapshot: by branch, tag or id, or by time.  ``where`` prunes files by their bounds, and filters.
+    def read(self, ref: str | int | None = None, at: str | None = None, where: str | None = None, places: bool = False, only: set[str] | None = None, raw: bool = False, prune: list[Condition] = (), meta: dict | None = None) -> DataFrame:
+        """Rows of a snapshot: by branch, tag or id, or by time.  ``where`` leaves files out by their bounds, and filters; ``prune`` only leaves files out.
 
-        places: adds __file and __pos.  only: just these files.  raw: deletes are not applied.
+        places: adds __file and __pos.  only: just these files.  raw: deletes are not applied.  meta: the version to read, else the newest.
         """
-        meta = self.meta()
+        meta = meta or self.meta()
         entries = self.entries(self.snapshot_of(meta, ref, at))
         fields = self.fields(meta)
-        physical = {f["name"].lower(): f["physical"] for f in fields}
-        conds = conditions(where)
-        data = [e for e in entries if e["kind"] == "data" and (only is None or e["path"] in only) and may_match(e, conds, physical)]
+        kinds = {f["name"].lower(): (f["physical"], f["type"]) for f in fields}
+        conds = [*conditions(where), *prune]
+        data = [e for e in entries if e["kind"] == "data" and (only is None or e["path"] in only) and may_match(e, conds, kinds)]
         position = [] if raw else [e for e in entries if e["kind"] == "position"]
         equality = [] if raw else [e for e in entries if e["kind"] == "equality"]
         groups: dict[tuple, list[dict]] = {}
@@ -288,32 +363,45 @@ class Table:
             at = by_id.get(at["parent"])
         if int(start) and at is None:
             raise LakeError(f"{start} is no ancestor of {end}")
-        parts = []
+        groups: dict[int, list[tuple[str, int, int]]] = {}
         for s in reversed(chain):
-            added = [e for e in self.entries(s) if e["kind"] == "data" and e["added"] == s["id"]]
-            for n, e in enumerate(added):
-                df = self._read_group(meta, self.fields(meta), e["schema"], [e], (), [], False, {})
-                parts.append(df.withColumns({"_change_type": F.lit("insert"), "_change_ordinal": F.lit(n).cast("bigint"), "_commit_snapshot_id": F.lit(s["id"]).cast("bigint")}))
+            for n, e in enumerate(x for x in self.entries(s) if x["kind"] == "data" and x["added"] == s["id"]):
+                groups.setdefault(e["schema"], []).append((e["path"], n, s["id"]))
+        parts = []
+        for schema, found in groups.items():  # one read for each schema; the names of files bring their snapshots
+            df = self._read_group(meta, self.fields(meta), schema, [{"path": path} for path, _, _ in found], (), [], True, {})
+            of = self.spark.createDataFrame(found, "__f string, _change_ordinal bigint, _commit_snapshot_id bigint")
+            rows = df.join(of, F.col("__file") == F.col("__f"))
+            parts.append(rows.select(*[F.col(f"`{f['name']}`") for f in self.fields(meta)], F.lit("insert").alias("_change_type"), "_change_ordinal", "_commit_snapshot_id"))
         kind = T.StructType([*self.schema(meta).fields, T.StructField("_change_type", T.StringType()), T.StructField("_change_ordinal", T.LongType()), T.StructField("_commit_snapshot_id", T.LongType())])
         return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], kind)
 
     # -- writing ---------------------------------------------------------
 
-    def _write(self, df: DataFrame, meta: dict) -> list[dict]:
-        """Writes rows in table order as data files and describes each."""
+    def _write(self, df: DataFrame, meta: dict, order: list[Column] = (), parts: int | None = None) -> list[dict]:
+        """Writes rows in table order as data files and describes each.
+
+        order: sorts by these columns of df instead of the table's own; parts: tasks that write, by range of that order.
+        """
         fields, spec = self.fields(meta), meta["specs"][meta["spec"]]
-        out = df.select(*[F.col(f"`{f['name']}`").cast(T._parse_datatype_json_value(f["type"])).alias(f["physical"]) for f in fields])
+        extra = [c.alias(f"__by{k}") for k, c in enumerate(order)]
+        out = df.select(*[F.col(f"`{f['name']}`").cast(T._parse_datatype_json_value(f["type"])).alias(f["physical"]) for f in fields], *extra)
         where = f"{self.path}/data/{uuid.uuid4().hex}"
         props = meta["properties"]
         physical = {f["name"].lower(): f["physical"] for f in fields}
-        order = [physical[c.strip().lower()] for c in props.get("write.sort-order", "").split(",") if c.strip()]
+        by = [f"__by{k}" for k in range(len(order))] or [physical[c.strip().lower()] for c in props.get("write.sort-order", "").split(",") if c.strip()]
+        ranged = bool(by) and (bool(order) or props.get("write.distribution-mode", "range") == "range")
         keys = [f"__part{k}" for k in range(len(spec))]
-        if spec:
-            out = out.withColumns({n: transform_column(p, F.col(f"`{physical[p['column'].lower()]}`")).cast("string") for n, p in zip(keys, spec, strict=True)}).repartition(*keys)
-        elif order and props.get("write.distribution-mode", "range") == "range":
-            out = out.repartitionByRange(*order)
-        if order:
-            out = out.sortWithinPartitions(*keys, *order)
+        out = out.withColumns({n: transform_column(p, F.col(f"`{physical[p['column'].lower()]}`")).cast("string") for n, p in zip(keys, spec, strict=True)})
+        if ranged:  # a large partition of the table is several ranges
+            out = out.repartitionByRange(*([parts] if parts else []), *keys, *by)
+        elif keys:  # tasks of even size: small partitions of the table share one, large ones are split
+            out = out.hint("rebalance", *keys)
+        elif parts:
+            out = out.repartition(parts)
+        if keys or by:
+            out = out.sortWithinPartitions(*keys, *by)
+        out = out.drop(*[f"__by{k}" for k in range(len(order))])
         writer = out.write.option("compression", props.get("write.parquet.compression-codec", "zstd"))
         for k, v in props.items():
             if k.startswith("parquet."):
@@ -330,18 +418,32 @@ class Table:
         plain = [f for f in fields if isinstance(f["type"], str)]
         physical = {f["name"].lower(): f["physical"] for f in fields}
         stats = [F.count("*").alias("n")]
+
+        def text(c: Column, kind: str) -> Column:
+            """Exact: times as microseconds, so no zone or format comes in."""
+            if kind == "timestamp_ntz":
+                return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c).cast("string")
+            if kind in ("date", "timestamp"):
+                return (F.unix_micros(c) if kind == "timestamp" else F.unix_date(c).cast("bigint") * 86_400_000_000).cast("string")
+            return c.cast("string") if kind == "string" or _numeric(kind) else F.lit(None).cast("string")
+
         for k, f in enumerate(plain):
             c = F.col(f"`{f['physical']}`")
-            stats += [F.min(c).cast("string" if not _numeric(f["type"]) else "double").alias(f"l{k}"), F.max(c).cast("string" if not _numeric(f["type"]) else "double").alias(f"u{k}"), F.count(c).alias(f"c{k}")]
+            stats += [text(F.min(c), f["type"]).alias(f"l{k}"), text(F.max(c), f["type"]).alias(f"u{k}"), F.count(c).alias(f"c{k}")]
         parts = [F.min(transform_column(p, F.col(f"`{physical[p['column'].lower()]}`")).cast("string")).alias(f"p{k}") for k, p in enumerate(spec)]
         rows = self.spark.read.schema(stored).parquet(*sizes).groupBy(F.col("_metadata.file_path").alias("file")).agg(*stats, *parts).collect()  # a row per new file
         return [
-            {"kind": "data", "path": r["file"], "rows": r["n"], "bytes": sizes.get(r["file"], self.store.size(r["file"])), "schema": meta["schema"], "spec": meta["spec"], "partition": [r[f"p{k}"] for k in range(len(spec))], "bounds": {f["physical"]: [r[f"l{k}"], r[f"u{k}"]] for k, f in enumerate(plain)}, "nulls": {f["physical"]: r["n"] - r[f"c{k}"] for k, f in enumerate(plain)}}
+            {"kind": "data", "path": r["file"], "rows": r["n"], "bytes": sizes.get(r["file"], self.store.size(r["file"])), "schema": meta["schema"], "spec": meta["spec"], "partition": [r[f"p{k}"] for k in range(len(spec))], "bounds": {f["physical"]: [r[f"l{k}"], r[f"u{k}"], f["type"]] for k, f in enumerate(plain)}, "nulls": {f["physical"]: r["n"] - r[f"c{k}"] for k, f in enumerate(plain)}}
             for r in sorted(rows, key=lambda r: r["file"])
         ]
 
-    def _commit_files(self, added: list[dict], removed: set[str], operation: str, branch: str, expect: int | None = None, new_meta: Callable | None = None) -> int:
-        """A snapshot with files added and removed.  Removing files that another writer removed meanwhile is a conflict."""
+    def _commit_files(self, added: list[dict], removed: set[str], operation: str, branch: str, base: int | None = None, new_meta: Callable | None = None) -> int:
+        """A snapshot with files added and removed.
+
+        Removing files that another writer removed meanwhile is a conflict; so
+        are deletes that another writer added for them after ``base``, the
+        sequence number at which they were read.
+        """
         made: dict[str, Any] = {}
 
         def change(meta: dict) -> None:
@@ -356,6 +458,9 @@ class Table:
             manifests, seen = [], set()
             for m in parent["manifests"] if parent else []:
                 entries = self.store.read(m)
+                late = [e for e in entries if base is not None and e["kind"] != "data" and e["sequence"] > base]
+                if removed and any(e["kind"] == "equality" or removed & set(e["targets"]) for e in late):
+                    raise Conflict(f"{self.name}: rows of files to replace were deleted meanwhile")
                 if removed & {e["path"] for e in entries}:
                     seen |= {e["path"] for e in entries}
                     entries = [e for e in entries if e["path"] not in removed]
@@ -445,19 +550,20 @@ class Table:
 
     # -- row-level changes -------------------------------------------------
 
-    def _touched(self, where: str | Column, branch: str) -> set[str]:
-        """Files that hold a row to change: bounds prune, then one scan; as many rows as files come back."""
+    def _touched(self, where: str | Column, branch: str, meta: dict) -> set[str]:
+        """Files that hold a row to change: bounds leave files out, then one scan; as many rows as files come back."""
         if isinstance(where, str):
-            rows = self.read(branch, where=where, places=True)
+            rows = self.read(branch, where=where, places=True, meta=meta)
         else:
-            rows = self.read(branch, places=True).filter(where)
+            rows = self.read(branch, places=True, meta=meta).filter(where)
         return {r["__file"] for r in rows.select("__file").distinct().collect()}
 
-    def _replace_files(self, files: set[str], rows: DataFrame, operation: str, branch: str) -> int:
-        added = [e for e in self._write(rows, self.meta()) if e["rows"]]
-        entries = self.entries(self.snapshot_of(self.meta(), branch))
+    def _replace_files(self, files: set[str], rows: DataFrame, operation: str, branch: str, meta: dict) -> int:
+        """meta: the version that rows were read from."""
+        added = [e for e in self._write(rows, meta) if e["rows"]]
+        entries = self.entries(self.snapshot_of(meta, branch))
         gone = files | {e["path"] for e in entries if e["kind"] == "position" and set(e["targets"]) <= files}
-        return self._commit_files(added, gone, operation, branch)
+        return self._commit_files(added, gone, operation, branch, meta["sequence"])
 
     def keys(self) -> list[str]:
         return [k.strip() for k in self.meta()["properties"].get("primary-key", "").split(",") if k.strip()]
@@ -470,13 +576,13 @@ class Table:
 
     def delete(self, where: str = "true", branch: str = "main") -> int | None:
         """Rows for which the predicate is true go; NULL keeps a row."""
-        mode = self.mode("delete")
+        mode, meta = self.mode("delete"), self.meta()
         if mode == "copy-on-write":
-            files = self._touched(where, branch)
+            files = self._touched(where, branch, meta)
             if not files:
                 return None
-            return self._replace_files(files, self.read(branch, only=files).filter(~F.coalesce(F.expr(where), F.lit(False))), "delete", branch)
-        rows = self.read(branch, where=where, places=mode == "position")
+            return self._replace_files(files, self.read(branch, only=files, meta=meta).filter(~F.coalesce(F.expr(where), F.lit(False))), "delete", branch, meta)
+        rows = self.read(branch, where=where, places=mode == "position", meta=meta)
         if mode == "position":
             return self._write_deletes(rows.select(F.col("__file").alias("file"), F.col("__pos").alias("pos")), "position", [], branch, [])
         return self._delete_keys(rows, branch, [])
@@ -507,14 +613,15 @@ class Table:
         def changed(df: DataFrame, test: Column) -> DataFrame:
             return df.select(*[F.when(test, F.expr(low[n]).cast(T._parse_datatype_json_value(f["type"]))).otherwise(F.col(f"`{f['name']}`")).alias(f["name"]) if n in low else F.col(f"`{f['name']}`") for n, f in fields.items()])
 
+        meta = self.meta()
         if self.mode("update") == "equality":
-            rows = self.read(branch, where=where)
+            rows = self.read(branch, where=where, meta=meta)
             added = [e for e in self._write(changed(rows, F.lit(True)), self.meta()) if e["rows"]]
             return self._delete_keys(rows, branch, added, "overwrite") if added else None
-        files = self._touched(where, branch)
+        files = self._touched(where, branch, meta)
         if not files:
             return None
-        return self._replace_files(files, changed(self.read(branch, only=files), F.coalesce(F.expr(where), F.lit(False))), "overwrite", branch)
+        return self._replace_files(files, changed(self.read(branch, only=files, meta=meta), F.coalesce(F.expr(where), F.lit(False))), "overwrite", branch, meta)
 
     def merge(self, source: DataFrame, on: str, clauses: list[dict], target: str = "t", alias: str = "s", branch: str = "main", visible: str | None = None) -> int | None:
         """MERGE: clauses in order, each {when: matched | not_matched | by_source, and, do: update | delete | insert, set / columns, values}; the first that fits a row decides.
@@ -525,7 +632,8 @@ class Table:
         for c in clauses:
             if (c["when"] == "not_matched") != (c["do"] == "insert"):
                 raise LakeError(f"{c['do']} does not go with {c['when']}")
-        rows = self.read(branch, places=True)
+        meta = self.meta()
+        rows = self.read(branch, places=True, meta=meta)
         seen = rows.filter(F.coalesce(F.expr(visible), F.lit(False))) if visible else rows
         t = seen.withColumn("__t", F.lit(True)).alias(target)
         s = source.withColumn("__s", F.lit(True)).alias(alias)
@@ -567,9 +675,9 @@ class Table:
         files = {r[0] for r in touched.collect()}
         result = joined.filter(keep & (F.col(f"{target}.__file").isin(sorted(files)) if files else F.lit(False)) | F.col("__clause").isin(inserts or [-2])).select(*cols)
         if visible and files:
-            hidden = self.read(branch, only=files).filter(~F.coalesce(F.expr(visible), F.lit(False)))
+            hidden = self.read(branch, only=files, meta=meta).filter(~F.coalesce(F.expr(visible), F.lit(False)))
             result = result.unionByName(hidden)
-        return self._replace_files(files, result, "overwrite", branch)
+        return self._replace_files(files, result, "overwrite", branch, meta)
 
     # -- schema, refs and maintenance -------------------------------------
 
@@ -704,21 +812,20 @@ class Table:
         if not chosen:
             return out
         paths = {e["path"] for e in chosen}
-        rows = self.read(branch, only=paths)
+        rows = self.read(branch, only=paths, meta=meta)
         parts = max(1, -(-out["input_bytes"] // target_bytes))
+        order: list[Column] = [F.col(f"`{c}`") for c in sort or []]
         if zorder:
             from lakeloom.operators.layout import zorder_key
 
-            rows = rows.withColumn("__z", zorder_key(rows, zorder)).repartitionByRange(parts, "__z").sortWithinPartitions("__z").drop("__z")
-        elif sort:
-            rows = rows.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
-        elif not meta["specs"][meta["spec"]]:
-            rows = rows.repartition(parts)
-        added = [e for e in self._write(rows, meta) if e["rows"]]
+            order = [zorder_key(rows, zorder)]
+        elif not order and meta["specs"][meta["spec"]]:  # ranges of no particular order, so that a large partition is several files
+            order = [F.xxhash64(*[F.col(f"`{f['name']}`") for f in self.fields(meta)])]
+        added = [e for e in self._write(rows, meta, order, parts) if e["rows"]]
         spent = {e["path"] for e in deletes if e["kind"] == "position" and set(e["targets"]) <= paths}
         if len(chosen) == len(data):
             spent = {e["path"] for e in deletes}
-        self._commit_files(added, paths | spent, "replace", branch)
+        self._commit_files(added, paths | spent, "replace", branch, meta["sequence"])
         return out | {"output_count": len(added), "output_bytes": sum(e["bytes"] for e in added)}
 
     def expire_snapshots(self, older_than_ms: int | None = None, retain_last: int = 1) -> dict:
@@ -784,11 +891,12 @@ def _numeric(kind: str) -> bool:
 
 def delete_using(table: Table, source: DataFrame, on: str, target: str, alias: str, branch: str = "main") -> int | None:
     """DELETE ... USING: target rows that some source row matches go, once, however many match."""
-    rows = table.read(branch, places=True).alias(target)
+    meta = table.meta()
+    rows = table.read(branch, places=True, meta=meta).alias(target)
     hit = rows.join(source.alias(alias), F.expr(on), "left_semi").select(F.col("__file").alias("f"), F.col("__pos").alias("p"))
     files = {r["f"] for r in hit.select("f").distinct().collect()}
     if not files:
         return None
-    rest = table.read(branch, places=True, only=files)
+    rest = table.read(branch, places=True, only=files, meta=meta)
     kept = rest.join(hit, (rest["__file"] == F.col("f")) & (rest["__pos"] == F.col("p")), "left_anti").drop("__file", "__pos")
-    return table._replace_files(files, kept, "delete", branch)
+    return table._replace_files(files, kept, "delete", branch, meta)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -21,17 +23,37 @@ class Storage:
         return fs.makeQualified(p).toString()
 
     def create(self, path: str, value: Any) -> bool:
-        """Writes a new JSON file; False if it exists: that is how commits exclude each other."""
+        """A new JSON file, whole or not at all; False if it exists: that is how commits exclude each other.
+
+        It is written aside and then gets its name: by a link on local disks
+        and by a rename elsewhere, both of which fail where the name is taken.
+        Object stores have neither, but show a file only when it is whole.
+        """
         fs, p = self._fs(path)
+        if fs.exists(p):
+            return False
+        scheme, data = fs.getUri().getScheme(), bytearray(json.dumps(value).encode())
+        aside = p if scheme in ("s3", "s3a", "s3n", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cos") else self.jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
         try:
-            out = fs.create(p, False)
+            out = fs.create(aside, False)
         except Exception as e:
             if "FileAlreadyExists" in str(e) or fs.exists(p):
                 return False
             raise
-        out.write(bytearray(json.dumps(value).encode()))
+        out.write(data)
         out.close()
-        return True
+        if aside is p:
+            return True
+        try:
+            if scheme == "file":
+                try:
+                    os.link(aside.toUri().getPath(), p.toUri().getPath())
+                    return True
+                except FileExistsError:
+                    return False
+            return bool(fs.rename(aside, p))
+        finally:
+            fs.delete(aside, False)
 
     def read(self, path: str) -> Any:
         fs, p = self._fs(path)

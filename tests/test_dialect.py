@@ -92,8 +92,34 @@ def test_functions_for_dataframes(spark):
 
 
 def test_pruning_conditions():
-    assert lake.conditions("a >= 3 AND b = 'x' AND f(c) > 1") == [("a", ">=", 3.0), ("b", "=", "x")]
-    assert lake.conditions("a = 1 OR b = 2") == []
-    e = {"bounds": {"a": [1.0, 5.0], "b": ["k", "p"]}}
-    assert lake.may_match(e, [("a", ">", 4.0), ("b", "=", "m")], {"a": "a", "b": "b"})
-    assert not lake.may_match(e, [("a", ">", 5.0)], {"a": "a"}) and not lake.may_match(e, [("b", "<", "k")], {"b": "b"})
+    plain = lambda c: [(n, op, v.text) for n, op, v in c]
+    assert plain(lake.conditions("a >= 3 AND b = 'x' AND f(c) > 1 AND (d < -2 AND e = DATE '2024-01-01')")) == [("a", ">=", "3"), ("b", "=", "'x'"), ("d", "<", "-2"), ("e", "=", "'2024-01-01'")]
+    assert lake.conditions("a = 1 OR b = 2") == [] and lake.conditions("NOT a = 1") == []
+    assert plain(lake.conditions("t.a = 1 AND s.b = 2 AND c = 3", "t")) == [("a", "=", "1"), ("c", "=", "3")]
+
+
+DAY = 86_400_000_000
+
+
+@pytest.mark.parametrize(
+    ("kind", "low", "high", "yes", "no"),
+    [
+        ("long", "9007199254740993", "9007199254740995", ["x = 9007199254740994", "x > 9007199254740994", "x <= 9007199254740993", "x = '9007199254740993'", "x = 9007199254740992e0"], ["x = 9007199254740992", "x < 9007199254740993", "x > 9007199254740995", "x > 9007199254740995.5"]),
+        ("double", "1.0", "NaN", ["x = 7", "x > 1e300", "x >= 1", "x < 2"], ["x < 1", "x = 0.5", "x <= -3"]),
+        ("double", "NaN", "NaN", ["x = 1", "x < 1", "x > 1"], []),
+        ("timestamp_ntz", str(19723 * DAY), str(19723 * DAY), ["x <= '2024-01-01'", "x = '2024-1-1'", "x >= '2024-01-01 00:00:00'", "x = TIMESTAMP '2024-01-01 00:00:00.000000'", "x > 'now'", "x < '2024-01-01T00:00:00Z'"], ["x < '2024-01-01'", "x > '2024-01-01'", "x = '2024-01-01 00:00:00.000001'", "x >= DATE '2024-01-02'"]),
+        ("timestamp", str(19723 * DAY), str(19723 * DAY), ["x > '2024-01-01 14:00:00'", "x < '2023-12-31 12:00:00'"], ["x > '2024-01-04'", "x = '2023-12-25'"]),
+        ("date", str(19723 * DAY), str(19723 * DAY), ["x = '2024-1-1'", "x <= '2024-01-01'", "x > TIMESTAMP '2023-12-31 12:00:00'"], ["x > '2024-01-01'", "x < '2024-01-01'"]),
+        ("string", "k", "p", ["x = 'm'", "x <= 'k'", "x = 5", r"x = 'a\\b'"], ["x < 'k'", "x > 'p'", "x = 'é'"]),
+        ("decimal(30,2)", "10.10", "20.20", ["x = 10.10", "x > 20.19", "x = 1e5"], ["x > 20.20", "x < 10.1", "x = 20.21"]),
+        ("float", "1.0", "16777216.0", ["x = 16777217", "x > 16777216.5"], ["x < 1"]),
+        ("boolean", None, None, ["x = 1", "x = 'true'"], []),
+    ],
+)
+def test_bounds_never_leave_out_a_match(kind, low, high, yes, no):
+    entry = {"bounds": {"x_1": [low, high, kind]}}
+    for text in yes:
+        assert lake.may_match(entry, lake.conditions(text), {"x": ("x_1", kind)}), text
+    for text in no:
+        assert not lake.may_match(entry, lake.conditions(text), {"x": ("x_1", kind)}), text
+    assert lake.may_match({"bounds": {"x_1": [low, high, "other"]}}, lake.conditions((no or yes)[0]), {"x": ("x_1", kind)})
