@@ -12,9 +12,10 @@ all.  Frequencies travel by ``common.Exchange``; a frequency that collides
 only moves a shingle in the order, alike for all texts.
 
 Pairs are verified by their whole shingle sets (64-bit hashes).  A large group
-of copies is not compared pair by pair: each text of a posting is compared
-with one that is drawn from those of about its size, and then only pairs that
-are not yet in one component.
+of copies is not compared pair by pair: in two rounds each posting's texts of
+about one size have one of them drawn, and each text is compared with that
+drawn text with which it shares most postings; then only pairs that are not
+yet in one component.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from lakeloom.llm import common
 NUM, DEN = 4, 5
 #: Bytes of text whose shingles are hashed at once.
 SLICE_BYTES = 1 << 19
-#: Rounds of comparing with a drawn text before all pairs that are left.
-PIVOTS = 1
+#: Rounds of comparing each text with one that is drawn before all pairs that are left.
+PIVOTS = 2
 FOUND = "doc_id bigint, copy bigint, key bigint, n int, fp bigint, prefix binary, shingles binary"
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 
@@ -171,7 +172,6 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
         left = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
         return left * (NUM + DEN) >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    pairs = lambda found: found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     done = known
     for number in range(PIVOTS + 1):
         roots = common.components(done)
@@ -179,10 +179,13 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
         apart = (F.col("x.h") == F.col("y.h")) & may("x", "y")
         if number < PIVOTS:
             group = rooted.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(number / 2)))  # bounds move, so near sizes meet
-            draw = F.struct(F.xxhash64("h", "key", F.lit(number)).alias("draw"), "key", "n", "place", "root")
+            draw = F.struct(F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "root")  # the same text for many postings
             pivot = group.groupBy("h", "class").agg(F.min(draw).alias("p"), F.count("*").alias("c")).filter("c > 1").select("h", "class", "p.*")
-            found = group.alias("x").join(pivot.alias("y"), apart & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
+            met = group.alias("x").join(pivot.alias("y"), apart & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
+            shared = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("n"))
+            found = shared.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most")).select("a", "most.b")
         else:
-            found = rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.root") < F.col("y.root")))
-        done = done.unionByName(verified(pairs(found), texts))
+            met = rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.root") < F.col("y.root")))
+            found = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+        done = done.unionByName(verified(found, texts))
     return done
