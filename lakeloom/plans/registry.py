@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries, once."""
-    from lakeloom.plans import aggregates, engine_queries, relational, scalars  # noqa: F401
+    from lakeloom.plans import aggregates, engine_queries, relational, scalars, shapes, statement_queries  # noqa: F401

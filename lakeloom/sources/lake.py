@@ -183,7 +183,7 @@ class Lake:
         return f"{self.root}/{ns or 'default'}/{table}"
 
     def namespaces(self) -> list[str]:
-        return [n for n in self.store.names(self.root) if not n.startswith((".", "_"))]
+        return [n for n in self.store.names(self.root) if not n.startswith((".", "_")) and self.store.exists(f"{self.root}/{n}/_namespace.json")]
 
     def create_namespace(self, name: str, if_not_exists: bool = False) -> None:
         if self.store.exists(f"{self.root}/{name}/_namespace.json"):
@@ -195,12 +195,24 @@ class Lake:
     def drop_namespace(self, name: str, if_exists: bool = False) -> None:
         if self.tables(name):
             raise LakeError(f"schema {name} is not empty")
-        if not self.store.exists(f"{self.root}/{name}") and not if_exists:
+        if name not in self.namespaces():
+            if if_exists:
+                return
             raise LakeError(f"no schema {name}")
-        self.store.delete(f"{self.root}/{name}")
+        self.store.delete(f"{self.root}/{name}/_namespace.json")
+        if not self._homes_below(f"{self.root}/{name}"):  # renamed tables may have their files here
+            self.store.delete(f"{self.root}/{name}")
 
     def rename_namespace(self, name: str, new: str) -> None:
-        self.store.rename(f"{self.root}/{name}", f"{self.root}/{new}")
+        self.create_namespace(new)
+        for t in self.tables(name):
+            self.rename(f"{name}.{t}", f"{new}.{t}")
+        self.drop_namespace(name)
+
+    def _homes_below(self, folder: str) -> list[str]:
+        """Folders in which tables of any name keep their files."""
+        homes = [self.table(f"{ns}.{t}").home for ns in self.namespaces() for t in self.tables(ns)]
+        return [h for h in homes if h == folder or h.startswith(f"{folder}/")]
 
     def tables(self, namespace: str = "default") -> list[str]:
         return [n for n in self.store.names(f"{self.root}/{namespace}") if self.store.exists(f"{self.root}/{namespace}/{n}/meta")]
@@ -225,7 +237,7 @@ class Lake:
         for p in spec:
             if p["column"].lower() not in seen:
                 raise LakeError(f"no column {p['column']} to partition by")
-        meta = {"uuid": uuid.uuid4().hex, "location": self.path(name), "schemas": [{"id": 0, "fields": fields}], "schema": 0, "next_field": len(fields) + 1, "specs": [spec], "spec": 0, "properties": properties or {}, "comment": comment, "snapshots": [], "refs": {"main": {"type": "branch", "snapshot": None}}, "log": [], "sequence": 0}
+        meta = {"uuid": uuid.uuid4().hex, "location": self.path(name) if not self.store.exists(self.path(name)) else f"{self.path(name)}_{uuid.uuid4().hex[:8]}", "schemas": [{"id": 0, "fields": fields}], "schema": 0, "next_field": len(fields) + 1, "specs": [spec], "spec": 0, "properties": properties or {}, "comment": comment, "snapshots": [], "refs": {"main": {"type": "branch", "snapshot": None}}, "log": [], "sequence": 0}
         if not self.store.create(f"{self.path(name)}/meta/v{0:010d}.json", meta):
             raise LakeError(f"table {name} exists")
         return Table(self, name)
@@ -235,12 +247,21 @@ class Lake:
             if if_exists:
                 return
             raise LakeError(f"no table {name}")
-        self.store.delete(self.path(name) if purge else f"{self.path(name)}/meta")
+        home = Table(self, name).home
+        self.store.delete(f"{self.path(name)}/meta")
+        if purge:
+            for folder in (home, self.path(name)):
+                if not self._homes_below(folder) and not self.store.exists(f"{folder}/meta"):
+                    self.store.delete(folder)
 
     def rename(self, name: str, new: str) -> None:
+        """The metadata gets the new name; files stay where manifests and delete files say they are."""
+        if not self.exists(name):
+            raise LakeError(f"no table {name}")
         if self.exists(new):
             raise LakeError(f"table {new} exists")
-        self.store.rename(self.path(name), self.path(new))
+        self.store.folder(self.path(new))
+        self.store.rename(f"{self.path(name)}/meta", f"{self.path(new)}/meta")
 
     def register(self, name: str, location: str) -> Table:
         """A table whose folder is elsewhere: its metadata is copied, its files stay."""
@@ -255,6 +276,11 @@ class Table:
         self.lake, self.name, self.spark, self.store = lake, name, lake.spark, lake.store
         self.path = lake.path(name)
 
+    @property
+    def home(self) -> str:
+        """The folder of its files: a renamed table keeps it."""
+        return self.meta()["location"]
+
     # -- metadata --------------------------------------------------------
 
     def meta(self) -> dict:
@@ -386,7 +412,7 @@ class Table:
         fields, spec = self.fields(meta), meta["specs"][meta["spec"]]
         extra = [c.alias(f"__by{k}") for k, c in enumerate(order)]
         out = df.select(*[F.col(f"`{f['name']}`").cast(T._parse_datatype_json_value(f["type"])).alias(f["physical"]) for f in fields], *extra)
-        where = f"{self.path}/data/{uuid.uuid4().hex}"
+        where = f"{self.home}/data/{uuid.uuid4().hex}"
         props = meta["properties"]
         physical = {f["name"].lower(): f["physical"] for f in fields}
         by = [f"__by{k}" for k in range(len(order))] or [physical[c.strip().lower()] for c in props.get("write.sort-order", "").split(",") if c.strip()]
@@ -487,7 +513,7 @@ class Table:
         return made["id"]
 
     def _manifest(self, entries: list[dict]) -> str:
-        path = f"{self.path}/manifests/{uuid.uuid4().hex}.json"
+        path = f"{self.home}/manifests/{uuid.uuid4().hex}.json"
         self.store.create(path, entries)
         return path
 
@@ -593,7 +619,7 @@ class Table:
         return self._write_deletes(rows.select(*[F.col(f"`{k}`").alias(physical[k]) for k in keys]).distinct(), "equality", [physical[k] for k in keys], branch, added, operation)
 
     def _write_deletes(self, rows: DataFrame, kind: str, keys: list[str], branch: str, added: list[dict], operation: str = "delete") -> int | None:
-        where = f"{self.path}/deletes/{uuid.uuid4().hex}"
+        where = f"{self.home}/deletes/{uuid.uuid4().hex}"
         rows.write.parquet(where)
         files = [(p, n) for p, n, _ in self.store.files(where) if p.endswith(".parquet")]
         found = self.spark.read.schema(rows.schema).parquet(where).withColumn("__d", F.col("_metadata.file_path"))
@@ -858,7 +884,7 @@ class Table:
         meta = self.meta()
         live = {e["path"] for s in meta["snapshots"] for e in self.entries(s)} | {m for s in meta["snapshots"] for m in s["manifests"]}
         names = {p.split("://")[-1].split(":", 1)[-1].replace("//", "/") for p in live}
-        found = [(p, n) for part in ("data", "deletes", "manifests") for p, n, at in self.store.files(f"{self.path}/{part}") if at < limit]
+        found = [(p, n) for part in ("data", "deletes", "manifests") for p, n, at in self.store.files(f"{self.home}/{part}") if at < limit]
         gone = [(p, n) for p, n in found if p.split("://")[-1].split(":", 1)[-1].replace("//", "/") not in names]
         for p, _ in gone:
             self.store.delete(p)

@@ -90,6 +90,10 @@ class Storage:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
+    def folder(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.mkdirs(p)
+
     def rename(self, a: str, b: str) -> None:
         fs, p = self._fs(a)
         if not fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(b)):
