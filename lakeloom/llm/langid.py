@@ -22,6 +22,8 @@ from lakeloom.llm import common
 WINDOW, STATES, AT_ONCE = 64, 8, 4096
 #: Bound of the training sample: documents of a language, and bytes of their whole texts; passes over them.
 FIT_DOCS, FIT_BYTES, EPOCHS, SEED = 400, 1 << 19, 4, 5
+#: Distinct languages up to which their counts are broadcast.
+BROADCAST_ROWS = 100_000
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -179,7 +181,8 @@ def trained(docs: DataFrame, fit_docs: int = FIT_DOCS, lang_col: str = "lang") -
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("lang is not null and length(text) > 0").filter(common.remainder(5) != 0).filter(F.octet_length("text") <= FIT_BYTES)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = common.written(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
     chosen = rows.join(counts, "lang").filter(draw < F.col("n").cast("double") ** -1 * (1_000_000 * fit_docs)).select("lang", "text", draw.alias("drawn"))
     # The bound is by language, so that many languages do not meet in the driver at once with all their texts.
