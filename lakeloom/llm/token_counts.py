@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm import bpe, common
 
-#: Tokens of a block, blocks of a run, and blocks that one range reads.
-BLOCK, RUN, RANGE = 1 << 15, 64, 256
+#: Tokens of a block, blocks of a run, blocks that one range reads, and tasks that ranges are dealt to at most.
+BLOCK, RUN, RANGE, TASKS = 1 << 15, 64, 64, 50_000
 
 
 def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
@@ -54,7 +54,8 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> Data
                         body = f.read_at(min(step, length - at), at) if length else b""
                         yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([at // step], pa.int64()), pa.array([body], pa.binary())], names=["file", "block", "body"])
 
-    return ranges.repartition("file", "start").mapInArrow(run, "file string, block bigint, body binary")
+    # A number of tasks, so that adaptive execution does not take the few names for little work.
+    return ranges.repartition(max(1, min(TASKS, ranges.count())), "file", "start").mapInArrow(run, "file string, block bigint, body binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
