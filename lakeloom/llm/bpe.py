@@ -2,12 +2,14 @@
 
 A rolling hash over 16 bytes cuts a text into chunks; the cuts depend on the
 bytes around them alone, so a passage that documents share gives the same
-chunks wherever it stands, and each is encoded once a task.  A chunk's tokens
-hold only between its first and last agreement point: a place between a
-printable character and a white space, where the pre-tokenizer always begins
-anew, whatever stands on either side.  What lies between the last such place
-of one chunk and the first of the next is the join.  It is encoded again as
-one piece, and grows by whole chunks until both its ends agree.
+chunks wherever it stands, and each is encoded once a task.  What chunks say
+of the bytes at their joins need not hold, so each join is repaired: the last
+piece of one chunk and the first of the next (from one place between a
+printable character and a white space to the next, where the pre-tokenizer
+begins anew) are encoded again together with what lies between, and stand only
+if the identifiers at both ends are exactly those that the chunks have there.
+If they are not, the join grows by another piece on either side, and by whole
+chunks where a chunk has no pieces left.
 """
 
 from __future__ import annotations
@@ -84,8 +86,11 @@ class Codec:
             self.joins.clear()
             self.held = size
 
-    def _chunk(self, data: bytes) -> tuple[bytes, np.ndarray | None, bytes]:
-        """Bytes before the first agreement point, tokens between it and the last, bytes after that."""
+    def _chunk(self, data: bytes) -> tuple[bytes, list[bytes], list[np.ndarray], bytes]:
+        """Bytes before the first piece, pieces at the front and the back, the identifiers of them and of all between, and bytes after the last piece.
+
+        A chunk of few pieces has none in the middle: it is all join.
+        """
         if (got := self.middles.get(data)) is not None:
             self.hits += 1
             return got
@@ -93,11 +98,12 @@ class Codec:
         x = np.frombuffer(data, np.uint8)
         space = (x[1:] == 32) | ((x[1:] >= 9) & (x[1:] <= 13))
         points = np.flatnonzero(space & (x[:-1] > 32) & (x[:-1] < 127)) + 1
-        if len(points):
-            a, z = int(points[0]), int(points[-1])
-            got = (data[:a], self._plain(data[a:z]) if z > a else np.zeros(0, np.uint32), data[z:])
+        if len(points) >= 3:
+            a, b, y, z = (int(points[k]) for k in (0, 1, -2, -1))
+            pieces = [data[a:b], data[y:z]]
+            got = (data[:a], pieces, [self._join(pieces[0]), self._plain(data[b:y]) if y > b else np.zeros(0, np.uint32), self._join(pieces[1])], data[z:]) if y >= b else (data, [], [], b"")
         else:
-            got = (data, None, b"")
+            got = (data, [], [], b"")
         self._keep(2 * len(data) + 200)
         self.middles[data] = got
         return got
@@ -109,6 +115,14 @@ class Codec:
             self.joins[data] = got
         return got
 
+    def _repaired(self, left: tuple[bytes, np.ndarray] | None, between: bytes, right: tuple[bytes, np.ndarray] | None) -> np.ndarray | None:
+        """Identifiers of what lies between two pieces, if encoding it with them gives exactly the pieces' own at the ends; else None."""
+        ids = self._join((left[0] if left else b"") + between + (right[0] if right else b""))
+        n, m = len(left[1]) if left else 0, len(right[1]) if right else 0
+        if n + m > len(ids) or (n and not np.array_equal(ids[:n], left[1])) or (m and not np.array_equal(ids[len(ids) - m :], right[1])):
+            return None
+        return ids[n : len(ids) - m]
+
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Places where chunks end, by the hash of the 16 bytes before them; never inside a character."""
         h = data.astype(np.uint32) + np.uint32(1)
@@ -123,28 +137,31 @@ class Codec:
         return at[(data[at] & 0xC0) != 0x80]
 
     def _section(self, data: bytes) -> list[np.ndarray]:
-        if len(data) < 2 * CHUNK:
-            return [self._plain(data)] if data else []
-        x = np.frombuffer(data, np.uint8)
-        at, parts, open_ = 0, [], b""
-        ends = [*self.cuts(x).tolist(), len(data)]
-        for end in ends:
+        """Identifiers, chunk by chunk; ``open_`` is what follows the last piece, ``left``."""
+        if not data:
+            return []
+        at, parts, open_, left = 0, [], b"", None
+        for end in [*self.cuts(np.frombuffer(data, np.uint8)).tolist(), len(data)]:
             while at < end:
                 stop = min(end, at + LONGEST)
                 while stop < end and (data[stop] & 0xC0) == 0x80:
                     stop += 1
-                head, middle, tail = self._chunk(data[at:stop])
-                at = stop
-                open_ += head
-                if middle is None:
-                    continue  # no agreement yet: the join grows by this chunk
-                if open_:
-                    parts.append(self._join(open_))
-                parts.append(middle)
-                open_ = tail
-        if open_:
-            parts.append(self._join(open_))
-        return parts
+                chunk, at = data[at:stop], stop
+                head, pieces, ids, tail = self._chunk(chunk)
+                between = self._repaired(left, open_ + head, (pieces[0], ids[0])) if pieces else None
+                if between is not None:
+                    parts += [between, *ids]
+                    left, open_ = (pieces[1], ids[2]), tail
+                    continue
+                if pieces and left:  # no agreement: the piece before is part of the join
+                    parts.pop()
+                    left, open_ = None, left[0] + open_
+                open_ += chunk  # the join grows by this chunk
+        last = self._repaired(left, open_, None)
+        if last is None:
+            parts.pop()
+            last = self._join(left[0] + open_)
+        return [*parts, last]
 
     def encode(self, data: bytes) -> np.ndarray:
         if self.special and SPECIAL.encode() in data:
