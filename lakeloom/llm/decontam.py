@@ -5,11 +5,12 @@ shingles of which ``need`` must be found, the n - need + 1 shingles of least
 hash.  A document that holds ``need`` of them misses at most n - need, so it
 holds one of the signature: the search loses no pair, however long the
 document.  Items are partitioned by size (powers of two).  Each partition has
-its own hash bound, the largest hash of its signatures, and its own lookup: a
-document's shingle is looked up in just the partitions whose bound it does
-not exceed, and a candidate of a partition must have as many distinct
-shingles as the partition's smallest item needs.  What is left is verified by
-exact containment of the shingles' words.
+its own hash bound, the largest hash of its signatures, and its own least
+``need``.  A document is searched only in the partitions whose least need its
+shingles can meet, so its shingles above the bounds of all of these are never
+looked up, and no candidate comes from the others.  One table serves all
+lookups, as a hash is in few signatures.  Candidates are verified by exact
+containment of the shingles' words.
 
 DataFrame operations only.
 """
@@ -63,13 +64,12 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: fl
     parts = signature.groupBy("part").agg(F.max("hash").alias("bound"), F.min("need").alias("least"), F.count("*").alias("n")).collect()  # one row per power of two
     size = (one.agg(F.sum(F.octet_length(F.array_join("s", " ")) + 100).alias("b")).first()["b"] or 0) if parts else 0
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("copy", F.xxhash64("text"))
-    top = max((r["bound"] for r in parts), default=None)
-    admits = [F.when(F.lit(r["bound"]) >= F.col("hash"), F.when(F.col("k") >= r["least"], F.lit(r["part"]))) for r in sorted(parts, key=lambda r: r["part"])]
-    hashed = rows.select("doc_id", "copy", _words("text").alias("w")).select("doc_id", "copy", F.size("w").alias("words"), F.explode(F.filter(_hashes(shingle), lambda h: h <= F.lit(top).cast("bigint"))).alias("hash"))
-    hashed = hashed.withColumn("k", F.col("words") - shingle + 1)
-    probes = hashed.select("doc_id", "copy", "hash", F.explode(F.array_compact(F.array(*admits)) if admits else F.expr("cast(array() as array<int>)")).alias("part"))
-    sized = _sized(signature.select("item", "part", "hash"), 32 * sum(r["n"] for r in parts))
-    found = common.written(probes.join(sized, ["part", "hash"]).select("doc_id", "copy", "item").distinct(), "candidates")
+    own = [F.when(F.col("k") >= r["least"], F.lit(r["bound"]).cast("bigint")) for r in parts]  # of each partition, for documents that may hold its items
+    bound = F.greatest(*own, F.lit(None).cast("bigint"), F.lit(None).cast("bigint"))
+    sized = rows.select("doc_id", "copy", _words("text").alias("w")).withColumn("k", F.size("w") - shingle + 1).withColumn("bound", bound)
+    probes = sized.select("doc_id", "copy", "k", F.explode(F.filter(_hashes(shingle), lambda h: h <= F.col("bound"))).alias("hash"))
+    least = signature.join(_sized(signature.groupBy("part").agg(F.min("need").alias("least")), 16 * len(parts)), "part").select("item", "least", "hash")
+    found = common.written(probes.join(_sized(least, 32 * sum(r["n"] for r in parts)), "hash").filter("k >= least").select("doc_id", "copy", "item").distinct(), "candidates")
     names = found.select(F.col("doc_id").alias("d"), F.col("copy").alias("c")).distinct()
     sized = _sized(names, 40 * names.count())
     texts = rows.join(sized, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["copy"] == F.col("c")), "left_semi")
