@@ -7,8 +7,8 @@ import re
 
 def _value(arg: str) -> str | None:
     """The text of a string literal that stands as an argument, else None."""
-    m = re.fullmatch(r"'((?:[^'\\]|\\.)*)'", arg.strip(), re.S)
-    return re.sub(r"\\(.)", r"\1", m[1], flags=re.S) if m else None
+    m = re.fullmatch(r"'((?:[^'\\]|\\.|'')*)'", arg.strip(), re.S)
+    return re.sub(r"\\(.)|'(')", lambda x: x[1] or x[2], m[1], flags=re.S) if m else None
 
 
 def _quoted(text: str) -> str:
@@ -38,31 +38,57 @@ def char(n: str) -> str:
     return f"decode(unhex(lpad(hex(CAST({n} AS BIGINT)), 8, '0')), 'UTF-32')"
 
 
+def _groups(p: str) -> str:
+    """How many groups a pattern captures that is known only when it is read."""
+    plain = f"regexp_replace({p}, {_quoted(chr(92) * 2 + '.|' + chr(92) + '[[^' + chr(92) + ']]*' + chr(92) + ']')}, '')"
+    return f"regexp_count({plain}, {_quoted(chr(92) + '((?![?])')})"
+
+
 def regexp_match(s: str, p: str, flags: str = "''") -> str:
     p = flagged(p, flags)
-    n = captures(needs_literal(p, "the pattern"))
+    if _value(p) is None:
+        return f"CASE WHEN {s} RLIKE {p} THEN transform(sequence(least(1, {_groups(p)}), {_groups(p)}), g -> regexp_extract({s}, {p}, g)) END"
+    n = captures(_value(p))
     groups = range(1, n + 1) if n else [0]
     return f"CASE WHEN {s} RLIKE {p} THEN array({', '.join(f'regexp_extract({s}, {p}, {g})' for g in groups)}) END"
 
 
 def flagged(p: str, flags: str) -> str:
-    f = _value(flags) or ""
-    return _quoted("(?i)" + needs_literal(p, "the pattern")) if "i" in f else p
+    if "i" not in (_value(flags) or ""):
+        return p
+    return _quoted("(?i)" + _value(p)) if _value(p) is not None else f"concat('(?i)', {p})"
 
 
 def regexp_replace(s: str, p: str, r: str, flags: str = "''") -> str:
     """The first match only, unless the flags have g; references to groups as \\1."""
-    rep = re.sub(r"\\(\d)", r"$\1", needs_literal(r, "the replacement"))
+    p = flagged(p, flags)
+    literal_p, literal_r = _value(p), _value(r)
+    if literal_r is not None:
+        rep = _quoted(re.sub(r"\\(\d)", r"$\1", literal_r))
+    else:
+        rep = f"regexp_replace({r}, {_quoted(chr(92) * 2 + '([0-9])')}, {_quoted(chr(92) + '$$1')})"
     if "g" in (_value(flags) or ""):
-        return f"regexp_replace({s}, {flagged(p, flags)}, {_quoted(rep)})"
-    pattern = re.sub(r"\\(\d)", lambda m: f"\\{int(m[1]) + 1}", needs_literal(p, "the pattern"))
-    shifted = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", rep)
-    fold = "(?i)" if "i" in (_value(flags) or "") else ""
-    return f"regexp_replace({s}, {_quoted(fold + '^([\\s\\S]*?)(?:' + pattern + ')')}, {_quoted('$1' + shifted)})"
+        return f"regexp_replace({s}, {p}, {rep})"
+
+    def shifted(text: str, mark: str) -> str:
+        """References to groups, each to the next: the highest first."""
+        for d in range(8, -1, -1):
+            text = f"replace({text}, {_quoted(f'{mark}{d}')}, {_quoted(f'{mark}{d + 1}')})"
+        return text
+
+    head, tail = "^([\\s\\S]*?)(?:", ")"
+    if literal_p is not None:
+        pattern = _quoted(head + re.sub(r"\\(\d)", lambda m: f"\\{int(m[1]) + 1}", literal_p) + tail)
+    else:
+        pattern = f"concat({_quoted(head)}, {shifted(p, chr(92))}, {_quoted(tail)})"
+    rep = _quoted("$1" + re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 1}", _value(rep))) if literal_r is not None else f"concat('$1', {shifted(rep, '$')})"
+    return f"regexp_replace({s}, {pattern}, {rep})"
 
 
 def regexp_extract(s: str, p: str) -> str:
-    return f"CASE WHEN {s} RLIKE {p} THEN regexp_extract({s}, {p}, {1 if captures(needs_literal(p, 'the pattern')) else 0}) END"
+    literal_p = _value(p)
+    group = f"least(1, {_groups(p)})" if literal_p is None else 1 if captures(literal_p) else 0
+    return f"CASE WHEN {s} RLIKE {p} THEN regexp_extract({s}, {p}, {group}) END"
 
 
 def hamming_distance(a: str, b: str) -> str:

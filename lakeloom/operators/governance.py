@@ -73,6 +73,16 @@ class Policies:
     grants: list[dict] = field(default_factory=list)
     members: dict[str, set[str]] = field(default_factory=dict)
 
+    def dump(self) -> dict:
+        """As JSON values."""
+        return {"filters": self.filters, "masks": self.masks, "restricted": self.restricted, "tag_masks": self.tag_masks, "grants": self.grants, "tags": [[*k, v] for k, v in self.tags.items()], "members": {k: sorted(v) for k, v in self.members.items()}}
+
+    @classmethod
+    def load(cls, kept: dict | None) -> Policies:
+        if not kept:
+            return cls()
+        return cls(**kept | {"tags": {(t, c): v for t, c, v in kept["tags"]}, "members": {k: set(v) for k, v in kept["members"].items()}})
+
     @staticmethod
     def _holds(policy: dict, user: str, roles: set[str]) -> bool:
         who = {user, *roles}

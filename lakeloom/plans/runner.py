@@ -27,7 +27,13 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         except Exception:
             return None
 
-    return spark.sql(Rewriter(types=types).sql(sql))
+    def columns(text: str) -> list[str] | None:
+        try:
+            return spark.sql(text).columns
+        except Exception:
+            return None
+
+    return spark.sql(Rewriter(types=types, columns=columns).sql(sql))
 
 
 def query(name: str, sql: str, oracle: str | None = "") -> None:

@@ -111,6 +111,23 @@ def _clustered(e: Engine, sf_dir: str) -> DataFrame:
 
 _with("lake_sorted_compaction", ("orders",), _clustered, "SELECT o_orderstatus AS s, count(*) AS n, sum(o_orderkey) AS k, 0 AS overlaps FROM orders GROUP BY 1")
 
+_lake("lake_update_subqueries", ("customer", "orders"), ["CREATE TABLE c AS SELECT c_custkey, c_nationkey, c_acctbal FROM customer", "CREATE TABLE o AS SELECT o_custkey, o_orderkey FROM orders", "UPDATE c SET c_nationkey = (SELECT max(n) FROM (SELECT c_nationkey AS n FROM c) AS q), c_acctbal = (SELECT count(*) FROM o WHERE o.o_custkey = c.c_custkey) WHERE c_acctbal < 0"], "SELECT * FROM c", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN (SELECT max(c_nationkey) FROM customer) ELSE c_nationkey END AS c_nationkey, CASE WHEN c_acctbal < 0 THEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) ELSE c_acctbal END AS c_acctbal FROM customer")
+
+
+def _ingested(e: Engine, sf_dir: str) -> DataFrame:
+    """Arrow batches into a table, then views and policies through another session of the same warehouse."""
+    import pyarrow as pa
+
+    rows = e.sql("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey").collect()
+    data = pa.table({"k": pa.array([r.n_nationkey for r in rows], pa.int64()), "name": [r.n_name for r in rows]})
+    e.ingest("n", data.slice(0, 10), "create")
+    e.ingest("n", data.slice(10).to_batches(4))
+    _ran(e, "CREATE VIEW big AS SELECT k, name FROM n WHERE k >= 5", "CREATE MASK ON n (name) AS partial (first = 3) EXCEPT admin", "GRANT SELECT ON n TO USER low")
+    return Engine(e.spark, e.lake.root, user="low").sql("SELECT k, name FROM big")
+
+
+_with("ingest_arrow_and_reopen", ("nation",), _ingested, "SELECT n_nationkey AS k, left(n_name, 3) || regexp_replace(regexp_replace(substr(n_name, 4), '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS name FROM nation WHERE n_nationkey >= 5")
+
 # -- metadata ------------------------------------------------------------------
 
 _with("lake_table_snapshots", ("nation",), lambda e, d: _ran(e, NATION, "INSERT INTO n VALUES (30, 'x', 1)", "DELETE FROM n WHERE n_nationkey < 5").sql("SELECT operation, CAST(summary['added-records'] AS BIGINT) AS added, parent_id IS NULL AS first FROM table_snapshots('default', 'n')"), "SELECT 'append' AS operation, count(*) AS added, true AS first FROM nation UNION ALL SELECT 'append', 1, false UNION ALL SELECT 'delete', count(*) FILTER (n_nationkey >= 5), false FROM nation")
@@ -312,6 +329,9 @@ query("agg_map_union_entries", "SELECT n_nationkey, element_at(m, n_nationkey) A
 query("agg_regression_sums", "SELECT o_orderstatus, round(regr_syy(o_totalprice, o_custkey) / 1e9, 4) AS a, round(regr_sxy(o_totalprice, o_custkey) / 1e9, 4) AS b, regr_count(o_totalprice, o_custkey) AS c FROM orders GROUP BY o_orderstatus")
 query("table_sample_share", "SELECT (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (100)) AS everything, (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (20)) BETWEEN 0.17 * count(*) AND 0.23 * count(*) AS a, (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (60)) BETWEEN 0.56 * count(*) AND 0.64 * count(*) AS b FROM lineitem", "SELECT count(*) AS everything, true AS a, true AS b FROM lineitem")
 
+query("fn_regex_columns", "SELECT n_nationkey, regexp_extract(n_name, p) AS a, regexp_replace(n_name, q, r) AS b, regexp_replace(n_name, q, r, 'g') AS c, regexp_match(n_name, p)[1] AS d, regexp_replace(n_name, 'N(A)', concat(r, '_')) AS e FROM (SELECT n_nationkey, n_name, concat('TI(ON)_', n_nationkey) AS p, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END AS q, '<\\1>' AS r FROM nation) AS x".replace("\\\\", "\\"), "SELECT n_nationkey, 'ON' AS a, regexp_replace(n_name, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END, '<\\1>') AS b, regexp_replace(n_name, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END, '<\\1>', 'g') AS c, 'ON' AS d, regexp_replace(n_name, 'N(A)', '<\\1>_') AS e FROM nation".replace("\\\\", "\\"))
+query("select_replace_in_place", "SELECT * REPLACE (upper(r_name) AS r_name) FROM (SELECT r_name, r_regionkey FROM region) AS q UNION ALL SELECT concat(a, '!'), b FROM (SELECT * EXCLUDE (c) REPLACE (b + 1 AS b) FROM (SELECT r_name AS a, r_regionkey AS b, 1 AS c FROM region) AS s) AS t", "SELECT upper(r_name) AS r_name, r_regionkey FROM region UNION ALL SELECT r_name || '!', r_regionkey + 1 FROM region")
+
 # -- streams --------------------------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.plans.tokens import Node, parse, unquoted
+from lakeloom.plans.tokens import Node, ident, parse, unquoted
 from lakeloom.sources.storage import Storage
 
 WIDENING = {("tinyint", "smallint"), ("tinyint", "int"), ("tinyint", "bigint"), ("smallint", "int"), ("smallint", "bigint"), ("int", "bigint"), ("float", "double"), ("date", "timestamp_ntz")}
@@ -182,6 +182,20 @@ class Lake:
         ns, _, table = name.rpartition(".")
         return f"{self.root}/{ns or 'default'}/{table}"
 
+    def kept(self, what: str) -> Any:
+        """The newest version of a value that belongs to the warehouse: views, policies."""
+        names = [n for n in self.store.names(f"{self.root}/_{what}") if n.startswith("v")]
+        return self.store.read(f"{self.root}/_{what}/{names[-1]}") if names else None
+
+    def keep(self, what: str, change: Callable[[Any], Any]) -> None:
+        """Writes the next version; made again from the newest if another writer was first."""
+        for _ in range(COMMIT_TRIES):
+            names = [n for n in self.store.names(f"{self.root}/_{what}") if n.startswith("v")]
+            number = int(names[-1][1:-5]) + 1 if names else 0
+            if self.store.create(f"{self.root}/_{what}/v{number:010d}.json", change(self.kept(what))):
+                return
+        raise Conflict(f"{what}: too many changes at once")
+
     def namespaces(self) -> list[str]:
         return [n for n in self.store.names(self.root) if not n.startswith((".", "_")) and self.store.exists(f"{self.root}/{n}/_namespace.json")]
 
@@ -629,14 +643,21 @@ class Table:
             return None
         return self._commit_files(entries + added, set(), operation, branch)
 
-    def update(self, sets: dict[str, str], where: str = "true", branch: str = "main") -> int | None:
-        """All right-hand sides see the row as it was."""
+    def update(self, sets: dict[str, str], where: str = "true", branch: str = "main", alias: str = "t") -> int | None:
+        """All right-hand sides see the row as it was; in subqueries of theirs its columns may be qualified by the alias."""
         fields = {f["name"].lower(): f for f in self.fields()}
         if unknown := [c for c in sets if c.lower() not in fields]:
             raise LakeError(f"no column {unknown[0]}")
         low = {k.lower(): v for k, v in sets.items()}
 
         def changed(df: DataFrame, test: Column) -> DataFrame:
+            if any("(SELECT" in v for v in low.values()):  # subqueries, perhaps correlated with the row: a query of its own
+                name = f"lakeloom_{uuid.uuid4().hex[:16]}"
+                df.withColumn("__hit", test).createOrReplaceTempView(name)
+                cols = [f"CASE WHEN __hit THEN CAST({low[n]} AS {T._parse_datatype_json_value(f['type']).simpleString()}) ELSE {ident(f['name'])} END AS {ident(f['name'])}" if n in low else ident(f["name"]) for n, f in fields.items()]
+                out = self.spark.sql(f"SELECT {', '.join(cols)} FROM {name} AS {ident(alias)}")
+                self.spark.catalog.dropTempView(name)
+                return out
             return df.select(*[F.when(test, F.expr(low[n]).cast(T._parse_datatype_json_value(f["type"]))).otherwise(F.col(f"`{f['name']}`")).alias(f["name"]) if n in low else F.col(f"`{f['name']}`") for n, f in fields.items()])
 
         meta = self.meta()
