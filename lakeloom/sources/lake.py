@@ -675,56 +675,101 @@ class Table:
 
         A target row that two source rows match is an error when a matched
         clause exists.  ``visible`` hides target rows from the match: they stay.
+
+        The target is joined once, for pairs of places and source rows; only
+        files with a row that changes are read again.  Without a by_source
+        clause, files outside the range of the source's keys are not read.
         """
         for c in clauses:
             if (c["when"] == "not_matched") != (c["do"] == "insert"):
                 raise LakeError(f"{c['do']} does not go with {c['when']}")
-        meta = self.meta()
-        rows = self.read(branch, places=True, meta=meta)
-        seen = rows.filter(F.coalesce(F.expr(visible), F.lit(False))) if visible else rows
-        t = seen.withColumn("__t", F.lit(True)).alias(target)
-        s = source.withColumn("__s", F.lit(True)).alias(alias)
-        if any(c["when"] == "matched" for c in clauses):
-            pairs = t.join(s, F.expr(on), "inner").groupBy(f"{target}.__file", f"{target}.__pos").count()
-            if pairs.filter("count > 1").limit(1).count():
-                raise LakeError("a target row matches more than one source row")
-        joined = t.join(s, F.expr(on), "full")
-        has_t, has_s = F.col(f"{target}.__t").isNotNull(), F.col(f"{alias}.__s").isNotNull()
-        sides = {"matched": has_t & has_s, "not_matched": has_s & ~has_t, "by_source": has_t & ~has_s}
-        number, inserted = F.lit(-1), F.lit(False)
-        for k, c in reversed(list(enumerate(clauses))):
-            test = sides[c["when"]] & (F.coalesce(F.expr(c["and"]), F.lit(False)) if c.get("and") else F.lit(True))
-            number = F.when(test, F.lit(k)).otherwise(number)
-        fields = self.fields()
-        joined = joined.withColumn("__clause", number)
-        cols = []
-        for f in fields:
-            kind, own = T._parse_datatype_json_value(f["type"]), F.col(f"{target}.`{f['name']}`")
-            value = own
+        where = f"{self.home}/tmp/{uuid.uuid4().hex}"
+        try:
+            return self._merged(where, source, on, clauses, target, alias, branch, visible)
+        finally:
+            self.store.delete(where)
+
+    def _merged(self, where: str, source: DataFrame, on: str, clauses: list[dict], target: str, alias: str, branch: str, visible: str | None) -> int | None:
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{where}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+        def decided(when: str) -> Column:
+            """The number of the first clause of a kind that fits, else -1."""
+            number = F.lit(-1)
+            for k, c in reversed(list(enumerate(clauses))):
+                if c["when"] == when:
+                    number = F.when(F.coalesce(F.expr(c["and"]), F.lit(False)) if c.get("and") else F.lit(True), F.lit(k)).otherwise(number)
+            return number.alias("__clause")
+
+        meta, kinds = self.meta(), {c["when"] for c in clauses}
+        fields = self.fields(meta)
+        s = kept(source.withColumn("__id", F.monotonically_increasing_id()), "source").alias(alias)
+        prune = [] if "by_source" in kinds else self._key_range(on, s, target, alias, meta)
+        seen = self.read(branch, places=True, meta=meta, prune=prune)
+        seen = seen.filter(F.coalesce(F.expr(visible), F.lit(False))) if visible else seen
+        place = [F.col(f"{target}.__file").alias("__f"), F.col(f"{target}.__pos").alias("__p")]
+        pairs = kept(seen.alias(target).join(s, F.expr(on), "inner").select(*place, F.col(f"{alias}.__id").alias("__i"), decided("matched")), "pairs")
+        if "matched" in kinds and pairs.groupBy("__f", "__p").count().filter("count > 1").limit(1).count():
+            raise LakeError("a target row matches more than one source row")
+        changes = pairs.filter("__clause >= 0")
+        if "by_source" in kinds:
+            known = pairs.select("__f", "__p").distinct()
+            rest = seen.alias(target).join(known, (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left_anti")
+            alone = rest.select(*place, F.lit(None).cast("bigint").alias("__i"), decided("by_source")).filter("__clause >= 0")
+            changes = kept(changes.unionByName(alone), "changes")
+        files = {r["__f"] for r in changes.select("__f").distinct().collect()}  # as many as files
+
+        def value(f: dict, old: Column | None) -> Column:
+            """A field of the new row; None for the old one: of an inserted row."""
+            kind, out = T._parse_datatype_json_value(f["type"]), old
             for k, c in enumerate(clauses):
-                if c["do"] == "update" and (new := {a.lower(): b for a, b in c["set"].items()}.get(f["name"].lower())) is not None:
-                    value = F.when(F.col("__clause") == k, F.expr(new).cast(kind)).otherwise(value)
-                elif c["do"] == "insert":
+                if old is not None and c["do"] == "update" and (new := {a.lower(): b for a, b in c["set"].items()}.get(f["name"].lower())) is not None:
+                    out = F.when(F.col("__clause") == k, F.expr(new).cast(kind)).otherwise(out)
+                elif old is None and c["do"] == "insert":
                     names = [x.lower() for x in (c.get("columns") or [g["name"] for g in fields])]
                     new = c["values"][names.index(f["name"].lower())] if f["name"].lower() in names else f["default"]
-                    value = F.when(F.col("__clause") == k, (F.expr(new) if new is not None else F.lit(None)).cast(kind)).otherwise(value)
-            cols.append(value.alias(f["name"]))
-        deletes = [k for k, c in enumerate(clauses) if c["do"] == "delete"]
-        inserts = [k for k, c in enumerate(clauses) if c["do"] == "insert"]
-        keep = (has_t & ~F.col("__clause").isin(deletes or [-2])) | F.col("__clause").isin(inserts or [-2])
+                    mine = (F.expr(new) if new is not None else F.lit(None)).cast(kind)
+                    out = F.when(F.col("__clause") == k, mine) if out is None else F.when(F.col("__clause") == k, mine).otherwise(out)
+            return (F.lit(None).cast(kind) if out is None else out).alias(f["name"])
+
+        touched = self.read(branch, places=True, only=files, meta=meta).alias(target)
+        joined = touched.join(changes, (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left").join(s, F.col("__i") == F.col(f"{alias}.__id"), "left")
+        gone = [k for k, c in enumerate(clauses) if c["do"] == "delete"]
+        stays = ~F.coalesce(F.col("__clause").isin(gone or [-2]), F.lit(False))
+        new_rows = lambda df: df.select(*[value(f, F.col(f"{target}.`{f['name']}`")) for f in fields])
+        parts = []
+        if "not_matched" in kinds:
+            fresh = s.join(pairs.select("__i").distinct(), F.col(f"{alias}.__id") == F.col("__i"), "left_anti").select(f"{alias}.*", decided("not_matched")).filter("__clause >= 0")
+            parts.append(fresh.alias(alias).select(*[value(f, None) for f in fields]))
         if self.mode("merge") == "equality":
-            changed = [k for k in range(len(clauses)) if k not in inserts]
-            gone = joined.filter(has_t & F.col("__clause").isin(changed or [-2])).select(*[F.col(f"{target}.`{k}`").alias(k) for k in self.keys()])
-            fresh = joined.filter(keep & (F.col("__clause") >= 0)).select(*cols)
-            added = [e for e in self._write(fresh, self.meta()) if e["rows"]]
-            return self._delete_keys(gone, branch, added, "overwrite")
-        touched = joined.filter(has_t & F.col("__clause").isin([k for k in range(len(clauses)) if k not in inserts] or [-2])).select(f"{target}.__file").distinct()
-        files = {r[0] for r in touched.collect()}
-        result = joined.filter(keep & (F.col(f"{target}.__file").isin(sorted(files)) if files else F.lit(False)) | F.col("__clause").isin(inserts or [-2])).select(*cols)
-        if visible and files:
-            hidden = self.read(branch, only=files, meta=meta).filter(~F.coalesce(F.expr(visible), F.lit(False)))
-            result = result.unionByName(hidden)
-        return self._replace_files(files, result, "overwrite", branch, meta)
+            hit = joined.filter("__clause >= 0")
+            keys = hit.select(*[F.col(f"{target}.`{k}`").alias(k) for k in self.keys()])
+            added = [e for e in self._write(reduce(DataFrame.unionByName, parts, new_rows(hit.filter(stays))), meta) if e["rows"]]
+            return self._delete_keys(keys, branch, added, "overwrite")
+        return self._replace_files(files, reduce(DataFrame.unionByName, parts, new_rows(joined.filter(stays))), "overwrite", branch, meta)
+
+    def _key_range(self, on: str, source: DataFrame, target: str, alias: str, meta: dict) -> list[Condition]:
+        """What columns that ON equates with a source column lie between, for types whose text is exact."""
+        kinds, own = {f["name"].lower(): f["type"] for f in self.fields(meta)}, dict((n.lower(), k) for n, k in source.dtypes)
+        parts: list[list[Node]] = [[]]
+        for x in parse(on):
+            if x.key == "OR":
+                return []
+            parts.append([]) if x.key == "AND" else parts[-1].append(x)
+        plain = {"byte": "tinyint", "short": "smallint", "integer": "int", "long": "bigint", "string": "string", "date": "date"}
+        found = []
+        for p in parts:
+            if len(p) == 7 and p[3].text == "=" and p[1].text == p[5].text == ".":
+                left, right = (p[0].name().lower(), p[2].name().lower()), (p[4].name().lower(), p[6].name().lower())
+                for (a, column), (b, other) in ((left, right), (right, left)):
+                    if (a, b) == (target.lower(), alias.lower()) and column in kinds and kinds[column] in plain and own.get(other) == plain[kinds[column]]:
+                        found.append((column, other))
+        if not found:
+            return []
+        r = source.agg(*[f(F.col(f"`{o}`")).cast("string").alias(f"{n}{k}") for k, (_, o) in enumerate(found) for n, f in (("low", F.min), ("high", F.max))]).first()
+        node = lambda v, kind: Node("string", "'" + v.replace("'", "''") + "'") if kind in ("string", "date") else Node("number", v)
+        return [(c, op, node(r[f"{n}{k}"], kinds[c])) for k, (c, _) in enumerate(found) if r[f"low{k}"] is not None for n, op in (("low", ">="), ("high", "<="))]
 
     # -- schema, refs and maintenance -------------------------------------
 

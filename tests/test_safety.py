@@ -165,3 +165,18 @@ def test_no_result_is_broadcast_and_no_view_is_left(e):
     assert "BuildLeft, LeftOuter" in plan and df.count() == 206
     assert rows(e, "SELECT k, count(*) AS n FROM t WHERE id < 0 GROUP BY ROLLUP (k)") == [(None, None)]
     assert not [x for x in e.spark.catalog.listTables() if x.name.startswith("lakeloom_")]
+
+
+def test_merge_reads_only_files_in_the_range_of_keys(e):
+    e.sql("CREATE TABLE t (id BIGINT, v VARCHAR)")
+    for k in range(4):
+        e.sql(f"INSERT INTO t SELECT id, 'old' FROM range({k * 10}, {k * 10 + 10}) AS r(id)")
+    t = e.table("t")
+    s = e.spark.sql("SELECT 12L AS id, 'new' AS v UNION ALL SELECT 15L, 'new' UNION ALL SELECT 99L, 'x'")
+    assert [(c, op, n.text) for c, op, n in t._key_range("`t`.`id` = `s`.`id`", s, "t", "s", t.meta())] == [("id", ">=", "12"), ("id", "<=", "99")]
+    assert t._key_range("t.id = s.id OR t.v = s.v", s, "t", "s", t.meta()) == [] and t._key_range("t.id = s.id + 1", s, "t", "s", t.meta()) == []
+    before = {x["path"] for x in t.entries(t.snapshot_of(t.meta()))}
+    e.sql("MERGE INTO t USING (SELECT * FROM (VALUES (12, 'new'), (15, NULL), (99, 'x''y')) AS q(id, v)) AS s ON t.id = s.id WHEN MATCHED AND s.v IS NULL THEN DELETE WHEN MATCHED THEN UPDATE SET v = s.v WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, upper(s.v))")
+    assert rows(e, "SELECT id, v FROM t WHERE v <> 'old'") == [(12, "new"), (99, "X'Y")] and rows(e, "SELECT count(*) AS n FROM t") == [(40,)]
+    after = {x["path"] for x in t.entries(t.snapshot_of(t.meta()))}
+    assert 0 < len(before - after) <= 2 and not e.lake.store.files(f"{t.home}/tmp")
