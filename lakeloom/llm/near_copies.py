@@ -8,7 +8,10 @@ then by hash.  Two texts of similarity t share at least t n of either's n
 shingles, so the first n - ceil(t n) + 1 shingles of both have one in common
 (prefix filter).  A shingle that only one text holds takes a place but is
 never looked up, so most texts that are nobody's copy have no postings at
-all.  Frequencies travel by ``common.Exchange``; a frequency that collides
+all.  What two prefixes share also bounds what the texts share: all that they
+have in common up to the end of the prefix that ends first is in both, and of
+the other text's rest no more than ceil(t n) - 1 can follow, so pairs whose
+prefixes share too little are dropped by a count.  Frequencies travel by ``common.Exchange``; a frequency that collides
 only moves a shingle in the order, alike for all texts.
 
 Pairs are verified by their whole shingle sets (64-bit hashes).  A large group
@@ -144,8 +147,9 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [common.unpacked(b, np.int32, np.uint64) for b in batch.column("prefix").to_pylist()]
         each = [len(p) for p, _ in got]
         place = np.concatenate([np.zeros(0, np.int32), *[p for p, _ in got]])
+        nth = np.concatenate([np.zeros(0, np.int32), *[np.arange(n, dtype=np.int32) for n in each]])
         h = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in got]]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column("key").to_numpy(), each)), pa.array(np.repeat(batch.column("n").to_numpy(), each)), pa.array(place)], names=["h", "key", "n", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(batch.column("key").to_numpy(), each)), pa.array(np.repeat(batch.column("n").to_numpy(), each)), pa.array(place), pa.array(nth), pa.array(np.repeat(np.array(each, np.int32), each))], names=["h", "key", "n", "place", "nth", "of"])
     common.release()
 
 
@@ -165,27 +169,30 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: pairs of keys of similarity 0.8 or more that, with the known ones, join all such pairs into their components.  texts: key, n, prefix, shingles, one row per key."""
-    postings = common.written(texts.select("key", "n", "prefix").mapInArrow(_postings, "h bigint, key bigint, n int, place int"), "postings")
-
-    # Of the first shingle that a pair shares: what is left from there on must hold the 4 (n + m) / 9 shingles that they share at least.
-    def may(x: str, y: str):
-        left = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
-        return left * (NUM + DEN) >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))
-
+    postings = common.written(texts.select("key", "n", "prefix").mapInArrow(_postings, "h bigint, key bigint, n int, place int, nth int, of int"), "postings")
+
+    def floor(a: str, b: str) -> str:
+        """How many shingles prefixes must share at least: those that the texts share at least, less what can follow a prefix."""
+        return f"(({NUM} * ({a} + {b}) + {NUM + DEN - 1}) div {NUM + DEN} - ({NUM} * greatest({a}, {b}) + {DEN - 1}) div {DEN} + 1)"
+
+    # Of a shingle that a pair shares: what is left from there on in both texts must hold what they share at least, if it is
+    # the first; and what comes before and after it in both prefixes must hold what those share at least.
+    left = f"least(x.n - x.place, y.n - y.place) * {NUM + DEN} >= {NUM} * (x.n + y.n)"
+    may = F.expr(f"(least(x.nth, y.nth) > 0 OR {left}) AND least(x.nth, y.nth) + least(x.of - x.nth, y.of - y.nth) >= {floor('x.n', 'y.n')}")
+    enough = F.expr(f"shared >= {floor('n', 'm')}")
+    counted = lambda met: met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
     done = known
     for number in range(PIVOTS + 1):
         roots = common.components(done)
-        rooted = common.written(postings.join(roots, postings["key"] == roots["node"], "left").select("h", "key", "n", "place", F.coalesce("root", "key").alias("root")), "rooted")
-        apart = (F.col("x.h") == F.col("y.h")) & may("x", "y")
+        rooted = common.written(postings.join(roots, postings["key"] == roots["node"], "left").select("h", "key", "n", "place", "nth", "of", F.coalesce("root", "key").alias("root")), "rooted")
+        same = (F.col("x.h") == F.col("y.h")) & may
         if number < PIVOTS:
             group = rooted.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(number / 2)))  # bounds move, so near sizes meet
-            draw = F.struct(F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "root")  # the same text for many postings
+            draw = F.struct(F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "nth", "of", "root")  # the same text for many postings
             pivot = group.groupBy("h", "class").agg(F.min(draw).alias("p"), F.count("*").alias("c")).filter("c > 1").select("h", "class", "p.*")
-            met = group.alias("x").join(pivot.alias("y"), apart & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
-            shared = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("n"))
-            found = shared.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most")).select("a", "most.b")
+            met = group.alias("x").join(pivot.alias("y"), same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
+            found = counted(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", "most.b")
         else:
-            met = rooted.alias("x").join(rooted.alias("y"), apart & (F.col("x.root") < F.col("y.root")))
-            found = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+            found = counted(rooted.alias("x").join(rooted.alias("y"), same & (F.col("x.root") < F.col("y.root")))).filter(enough).select("a", "b")
         done = done.unionByName(verified(found, texts))
     return done
