@@ -234,15 +234,32 @@ def shared_folder(spark: SparkSession) -> str:
 _OWN: list[str] = []
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts its lineage, and survives lost executors."""
     import uuid
 
     where = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(where)
+    _WRITTEN.append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def kept_only(spark: SparkSession, since: int, result: DataFrame | None = None) -> int:
+    """Deletes what ``written`` left since there were ``since`` tables, but the newest if it holds ``result``; how many there are now.
+
+    Only for when nothing is to be read from the others any more.
+    """
+    keep = _WRITTEN[-1:] if result is not None else []
+    for where in _WRITTEN[since : len(_WRITTEN) - len(keep)]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[since:] = keep
+    return len(_WRITTEN)
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root: the least node that links (a, b: bigint) reach, for every node that has a link.
 
