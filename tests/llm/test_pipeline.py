@@ -99,3 +99,15 @@ def test_stages_take_empty_tables_and_clashing_names(spark, tmp_path):
             assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, [(1, text), (None, item), (2, None), (3, item + " " + text[::-1]), (None, "short")]))
         if stage in (cp.encoding, cp.repeated_passages):
             assert len(got) == len(rows)
+
+
+def test_run_leaves_little_behind(spark):
+    """Tables of finished stages go; what the last stage still reads stays."""
+    from lakeloom.llm import common
+
+    before = len(common._WRITTEN)
+    got = cp.run(spark, "/root/testdata/sf0.001")
+    left = common._WRITTEN[before:]
+    assert len(left) == 1 and "benchmark-" in left[0] and got.count() > 50
+    common.kept_only(spark, before)
+    assert common._WRITTEN[before:] == []
