@@ -87,7 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.reading(spark, sf_dir, "documents")
+    """All stages; a stage's tables go when its result is written, and that goes when the next one's is."""
+    docs, first = common.reading(spark, sf_dir, "documents"), len(common._WRITTEN)
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        common.kept_only(spark, first, docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -130,7 +130,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals per user over a stream of the events file, as they stand at its end."""
     source = _t(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out = windows.drained(windows.running_totals(stream), f"totals_{uuid.uuid4().hex[:8]}", "update")
+    out = windows.drained(windows.running_totals(stream), _folder(spark), "update")
     return out.groupBy("user_id").agg(F.max_by(F.struct("n", F.round("total", 3).alias("total")), "n").alias("s")).select("user_id", "s.n", "s.total")
 
 

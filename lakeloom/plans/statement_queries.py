@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -352,7 +351,7 @@ def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = next(p for p, _, _ in store.files(f"{folder}/{name}") if p.endswith(".parquet"))
         store.rename(path, f"{folder}/in/{n}.parquet")
     stream = windows.read_events(spark, f"{folder}/in", events.schema).select("*")
-    out = windows.drained(windows.tumbling(stream), f"late_{uuid.uuid4().hex[:8]}")
+    out = windows.drained(windows.tumbling(stream), _folder(spark))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 

@@ -54,8 +54,17 @@ def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, and gives the rows it wrote."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now, and gives the rows it wrote.
+
+    Progress and rows are kept below the folder, which executors share; a
+    batch that runs again writes the same place again, so no row comes twice.
+    """
+    kind = df.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")

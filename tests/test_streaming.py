@@ -32,7 +32,7 @@ def stream(spark, folder):
 
 
 def test_tumbling_windows_of_a_stream(spark, folder):
-    got = windows.drained(windows.tumbling(stream(spark, folder)), "tumbling").collect()
+    got = windows.drained(windows.tumbling(stream(spark, folder)), f"file://{folder[0]}/out").collect()
     # the watermark that drops late rows is that of the batch before: the row of 01:00 still counts; the last window is open
     assert sorted((r.start.hour, r.n) for r in got) == [(0, 3), (1, 4), (2, 3), (3, 3)]
 
@@ -44,7 +44,7 @@ def test_duplicates_within_the_watermark(spark, folder):
 
 
 def test_running_totals(spark, folder):
-    got = windows.drained(windows.running_totals(stream(spark, folder)), "totals", "update").collect()
+    got = windows.drained(windows.running_totals(stream(spark, folder)), f"file://{folder[0]}/out", "update").collect()
     best = {}
     for r in got:
         best[r.user_id] = max(best.get(r.user_id, (0, 0.0)), (r.n, r.total))
