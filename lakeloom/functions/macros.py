@@ -55,6 +55,26 @@ def collected(x: str, keys: list[tuple[str, list[str]]], where: str, over: str =
     return f"transform(array_sort({rows}, {_compare(keys)}), e -> e.v)" if keys else f"transform({rows}, e -> e.v)"
 
 
+def _extreme(name: str, x: str, keys: list[tuple[str, list[str]]]) -> tuple[str] | None:
+    """The first or last value in an order as a minimum or maximum, which keeps one row of a group; None where keys go different ways."""
+    ways = {("DESC" in w, w[-1:] == ["FIRST"] if "NULLS" in w else "DESC" in w) for _, w in keys}
+    if len(ways) != 1:
+        return None
+    down, nulls_first = ways.pop()
+    if nulls_first != down:
+        return None
+    by = ", ".join(f"{k} IS NULL AS n{i}, {k} AS k{i}" for i, (k, _) in enumerate(keys))  # ascending with NULLs last, or all of it backwards
+    least = (name == "first_value") != down
+    return (f"{'min_by' if least else 'max_by'}(struct({x} AS v), struct({by}))",)
+
+
+def _runs(rows: str, key: str, entry: str) -> str:
+    """A map with an entry for each run of equal keys in sorted rows r: b is where it begins, e where the next one does.  Linear: rows and places are made once."""
+    places = f"filter(IF(size(r) = 0, CAST(array() AS ARRAY<INT>), sequence(1, size(r))), b -> b = 1 OR {key} <> {key.replace('(r, b)', '(r, b - 1)')})"
+    entries = f"zip_with(s, concat(slice(s, 2, greatest(size(s) - 1, 0)), array(size(r) + 1)), (b, e) -> {entry})"
+    return f"element_at(transform(array({rows}), r -> element_at(transform(array({places}), s -> map_from_entries(IF(size(r) = 0, slice({entries}, 1, 0), {entries}))), 1)), 1)"
+
+
 def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str, list[str]]], where: str, over: bool) -> str:
     """An aggregate of the dialect as a text of Spark aggregates."""
     only = f" FILTER (WHERE {where})" if where else ""
@@ -74,6 +94,8 @@ def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str,
         return f"percentile_approx({x}, {'0.5' if name == 'approx_median' else args[1]}, 10000){only}"
     if name == "arbitrary":
         return f"any_value({x}, true){only}"
+    if name in ("first_value", "last_value") and (extreme := _extreme(name, x, keys)):
+        return f"{extreme[0]}{only}.v"
     if name in ("first_value", "last_value", "nth_value"):
         rows = collected(x, keys, where)
         return f"try_element_at({rows}, {({'first_value': '1', 'last_value': '-1'}).get(name) or args[1]})"
@@ -84,12 +106,12 @@ def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str,
     if name == "skewness":
         return f"CASE WHEN count({y}) < 3 THEN NULL WHEN var_pop({y}) = 0 THEN double('NaN') ELSE skewness({y}) END"
     if name == "histogram":
-        rows = f"array_sort(collect_list({x}){only})"
-        return f"map_from_entries(transform(array_distinct({rows}), v -> struct(v, CAST(size(filter({rows}, e -> e = v)) AS BIGINT))))"
+        return _runs(f"array_sort(collect_list({x}){only})", "element_at(r, b)", "struct(element_at(r, b) AS k, CAST(e - b AS BIGINT) AS v)")
     given = f" FILTER (WHERE {x} IS NOT NULL{f' AND ({where})' if where else ''})"
     if name == "map_union":
         return f"map_from_entries(flatten(collect_list(map_entries({x})){given}))"
     rows = f"collect_list(struct({x} AS k, {args[1]} AS v)){given}"
     if name == "map_agg":
         return f"map_from_entries({rows})"
-    return f"map_from_entries(transform(array_distinct(transform({rows}, e -> e.k)), q -> struct(q, transform(filter({rows}, e -> e.k = q), e -> e.v))))"
+    by_key = f"array_sort({rows}, (l, r) -> CASE WHEN l.k < r.k THEN -1 WHEN l.k > r.k THEN 1 ELSE 0 END)"
+    return _runs(by_key, "element_at(r, b).k", "struct(element_at(r, b).k AS k, transform(slice(r, b, e - b), x -> x.v) AS v)")

@@ -180,3 +180,15 @@ def test_merge_reads_only_files_in_the_range_of_keys(e):
     assert rows(e, "SELECT id, v FROM t WHERE v <> 'old'") == [(12, "new"), (99, "X'Y")] and rows(e, "SELECT count(*) AS n FROM t") == [(40,)]
     after = {x["path"] for x in t.entries(t.snapshot_of(t.meta()))}
     assert 0 < len(before - after) <= 2 and not e.lake.store.files(f"{t.home}/tmp")
+
+
+def test_sketches_belong_to_a_snapshot(e):
+    e.sql("CREATE TABLE t AS SELECT id, id % 7 AS k, CAST(id AS VARCHAR) AS s, DATE '2024-01-01' + CAST(id % 3 AS INT) AS d FROM range(500) AS r(id)")
+    from lakeloom.sources import metadata
+
+    assert metadata.sketches(e.table("t")) == {}
+    e.sql("ANALYZE t")
+    assert set(metadata.sketches(e.table("t"))) == {"id", "k", "s", "d"}
+    assert {r.column_name: r.distinct_values_count for r in e.sql("SHOW STATS FOR t").collect()} == {"id": 500, "k": 7, "s": 500, "d": 3, None: None}
+    e.sql("INSERT INTO t VALUES (1000, 8, 'x', NULL)")
+    assert metadata.sketches(e.table("t")) == {} and {r.column_name: r.distinct_values_count for r in e.sql("SHOW STATS FOR t").collect()}["k"] == 8
