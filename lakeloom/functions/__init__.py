@@ -16,7 +16,7 @@ def fn(name: str, *args: str) -> Column:
 def agg(name: str, *args: str, distinct: bool = False, order_by: list[str] | None = None, where: str = "") -> Column:
     """An aggregate of the library: ``agg("array_agg", "x", order_by=["k DESC"])``."""
     keys = [(k.split()[0], [w.upper() for w in k.split()[1:]]) for k in order_by or []]
-    return F.expr(macros.aggregate(name, list(args), distinct, keys, where, False))
+    return F.expr(macros.aggregate(name, list(args), distinct, keys, where, ""))
 
 
 def register(spark: SparkSession) -> None:

@@ -49,9 +49,9 @@ def _compare(keys: list[tuple[str, list[str]]]) -> str:
 
 
 def collected(x: str, keys: list[tuple[str, list[str]]], where: str, over: str = "") -> str:
-    """All values, NULLs too, in the given order."""
+    """All values, NULLs too, in the given order; over: a window for them."""
     fields = ", ".join([*(f"{k} AS k{n}" for n, (k, _) in enumerate(keys)), f"{x} AS v"])
-    rows = f"collect_list(struct({fields}))" + (f" FILTER (WHERE {where})" if where else "")
+    rows = f"collect_list(struct({fields}))" + (f" FILTER (WHERE {where})" if where else "") + over
     return f"transform(array_sort({rows}, {_compare(keys)}), e -> e.v)" if keys else f"transform({rows}, e -> e.v)"
 
 
@@ -75,14 +75,14 @@ def _runs(rows: str, key: str, entry: str) -> str:
     return f"element_at(transform(array({rows}), r -> element_at(transform(array({places}), s -> map_from_entries(IF(size(r) = 0, slice({entries}, 1, 0), {entries}))), 1)), 1)"
 
 
-def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str, list[str]]], where: str, over: bool) -> str:
-    """An aggregate of the dialect as a text of Spark aggregates."""
-    only = f" FILTER (WHERE {where})" if where else ""
-    if over and name not in ("arbitrary", "approx_percentile", "approx_percentile_cont", "approx_median"):
-        raise ValueError(f"{name} is not available as a window function")
+def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str, list[str]]], where: str, over: str) -> str:
+    """An aggregate of the dialect as a text of Spark aggregates; over: `` OVER ...`` or nothing, which each of them gets."""
+    only = (f" FILTER (WHERE {where})" if where else "") + over
+    if over and where:
+        raise ValueError(f"{name} with FILTER is not available as a window function")
     x = args[0] if args else ""
     if name in ("array_agg",):
-        out = collected(x, keys, where)
+        out = collected(x, keys, where, over)
         return f"array_distinct({out})" if distinct else out
     if name in ("string_agg", "listagg"):
         order = ", ".join(f"{k} {'DESC' if 'DESC' in w else 'ASC'}" for k, w in keys)
@@ -97,20 +97,24 @@ def aggregate(name: str, args: list[str], distinct: bool, keys: list[tuple[str,
     if name in ("first_value", "last_value") and (extreme := _extreme(name, x, keys)):
         return f"{extreme[0]}{only}.v"
     if name in ("first_value", "last_value", "nth_value"):
-        rows = collected(x, keys, where)
+        rows = collected(x, keys, where, over)
         return f"try_element_at({rows}, {({'first_value': '1', 'last_value': '-1'}).get(name) or args[1]})"
     y = f"CASE WHEN {where} THEN CAST({x} AS DOUBLE) END" if where else f"CAST({x} AS DOUBLE)"
+    call = lambda f: f"{f}({y}){over}"
     if name == "kurtosis":  # sample excess (G2)
-        n = f"CAST(count({y}) AS DOUBLE)"
-        return f"CASE WHEN count({y}) < 4 THEN NULL WHEN var_pop({y}) = 0 THEN double('NaN') ELSE (({n} - 1) / (({n} - 2) * ({n} - 3))) * (({n} + 1) * kurtosis({y}) + 6) END"
+        n = f"CAST({call('count')} AS DOUBLE)"
+        return f"CASE WHEN {call('count')} < 4 THEN NULL WHEN {call('var_pop')} = 0 THEN double('NaN') ELSE (({n} - 1) / (({n} - 2) * ({n} - 3))) * (({n} + 1) * {call('kurtosis')} + 6) END"
     if name == "skewness":
-        return f"CASE WHEN count({y}) < 3 THEN NULL WHEN var_pop({y}) = 0 THEN double('NaN') ELSE skewness({y}) END"
+        return f"CASE WHEN {call('count')} < 3 THEN NULL WHEN {call('var_pop')} = 0 THEN double('NaN') ELSE {call('skewness')} END"
     if name == "histogram":
         return _runs(f"array_sort(collect_list({x}){only})", "element_at(r, b)", "struct(element_at(r, b) AS k, CAST(e - b AS BIGINT) AS v)")
     given = f" FILTER (WHERE {x} IS NOT NULL{f' AND ({where})' if where else ''})"
+    if over:  # no FILTER in windows: what is left out is NULL, which is not collected
+        rows = f"collect_list(CASE WHEN {x} IS NOT NULL THEN {'map_entries(' + x + ')' if name == 'map_union' else f'struct({x} AS k, {args[1]} AS v)'} END){over}"
+    else:
+        rows = f"collect_list({'map_entries(' + x + ')' if name == 'map_union' else f'struct({x} AS k, {args[1]} AS v)'}){given}"
     if name == "map_union":
-        return f"map_from_entries(flatten(collect_list(map_entries({x})){given}))"
-    rows = f"collect_list(struct({x} AS k, {args[1]} AS v)){given}"
+        return f"map_from_entries(flatten({rows}))"
     if name == "map_agg":
         return f"map_from_entries({rows})"
     by_key = f"array_sort({rows}, (l, r) -> CASE WHEN l.k < r.k THEN -1 WHEN l.k > r.k THEN 1 ELSE 0 END)"

@@ -316,17 +316,15 @@ def _access(e: Engine, sf_dir: str) -> DataFrame:
 _with("policy_access", ("nation",), _access, "SELECT * FROM (VALUES ('SELECT ann', 'true'), ('SELECT bob', 'false'), ('SELECT cid', 'true'), ('SELECT dan', 'false'), ('DELETE ann', 'false'), ('DELETE bob', 'false'), ('DELETE cid', 'false'), ('DELETE dan', 'false'), ('grant', 'SELECT|ann|allow'), ('grant', 'INSERT|ann|allow'), ('grant', 'SELECT|staff|allow'), ('grant', 'SELECT|bob|deny'), ('effective', 'SELECT|staff|(n_nationkey < 9)|n_name -> redact'), ('refused', '0|true'), ('refused', '1|true'), ('refused', '2|true'), ('refused', '3|true'), ('refused', '4|true')) AS t(what, v) UNION ALL SELECT 'rows', '***|' || count(*) FROM nation WHERE n_nationkey < 9")
 _with("policy_on_writes", ("customer",), lambda e, d: (lambda low: _ran(e, _CUSTOMER, "CREATE ROW FILTER ON c WHERE c_nationkey < 10 EXCEPT admin", "CREATE ROW FILTER ON c WHERE c_name <> current_user() EXCEPT admin") and _ran(low, "DELETE FROM c WHERE c_acctbal < 0", "UPDATE c SET c_acctbal = 1 WHERE c_custkey % 2 = 0", "MERGE INTO c USING (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 = 0) AS s ON c.c_custkey = s.k WHEN MATCHED THEN UPDATE SET c_name = 'merged'") and e.sql("SELECT c_custkey, c_name, c_acctbal FROM c"))(e.as_user("low")), "SELECT c_custkey, CASE WHEN c_nationkey < 10 AND c_custkey % 5 = 0 THEN 'merged' ELSE c_name END AS c_name, CASE WHEN c_nationkey < 10 AND c_custkey % 2 = 0 THEN 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE NOT (c_nationkey < 10 AND c_acctbal < 0)")
 
-# -- functions of time, digests, samples and sketches -----------------------------------
+# -- functions of time, digests, regressions and patterns -----------------------------------
 
 _D = {a: hashlib.new(a, b"lakeloom").hexdigest() for a in ("sha224", "sha384", "sha512", "blake2b", "blake2s", "sha1", "md5")}
 query("fn_digests", "SELECT n_nationkey, sha224('lakeloom') AS a, sha384('lakeloom') AS b, sha512('lakeloom') AS c, lower(to_hex(digest('lakeloom', 'blake2b'))) AS d, lower(to_hex(digest('lakeloom', 'blake2s'))) AS e, from_utf8(decode(encode(n_name, 'hex'), 'hex')) AS f, from_utf8(decode(encode(n_name, 'base64'), 'base64')) AS g, sha512(n_name) = sha512(n_comment_) AS h FROM (SELECT n_nationkey, n_name, concat(n_name, 'x') AS n_comment_ FROM nation) AS q", f"SELECT n_nationkey, '{_D['sha224']}' AS a, '{_D['sha384']}' AS b, '{_D['sha512']}' AS c, '{_D['blake2b']}' AS d, '{_D['blake2s']}' AS e, n_name AS f, n_name AS g, false AS h FROM nation")
 query("fn_time_zones", "SELECT event_id, CAST(at_timezone(ts, 'Asia/Kolkata') AS VARCHAR) AS a, CAST(ts AT TIME ZONE 'Asia/Tokyo' AS VARCHAR) AS b, to_unixtime(with_timezone(ts, 'Asia/Tokyo')) AS c FROM events", "SELECT event_id, regexp_replace((ts + INTERVAL 330 MINUTE)::VARCHAR, '[.]?0*$', '') AS a, regexp_replace((ts + INTERVAL 9 HOUR)::VARCHAR, '[.]?0*$', '') AS b, epoch_us(ts) / 1e6 AS c FROM events")
 query("fn_time_now", "SELECT current_date AS d, CAST(now() AS DATE) = current_date AS a, abs(date_diff('second', localtimestamp, CAST(current_timestamp AS TIMESTAMP))) < 5 AS b, length(CAST(current_time AS VARCHAR)) >= 8 AS c, now() > TIMESTAMP '2024-01-01 00:00:00' AS e", "SELECT (epoch_ms(0) + to_microseconds(epoch_us(get_current_timestamp())))::DATE AS d, true AS a, true AS b, true AS c, true AS e")
 query("fn_time_text", "SELECT event_id, to_char(ts, 'yyyy-MM-dd') AS a, to_date('2024-02-29') AS b, to_timestamp_seconds(event_id) AS c, json_format(json_parse('[1, 2]')) AS d, json_get_float('{\"a\": 1.5}', 'a') AS e, json_as_text('{\"a\": {\"b\": 1}}', 'a') AS f FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS a, DATE '2024-02-29' AS b, make_timestamp(event_id * 1000000) AS c, '[1,2]' AS d, 1.5::DOUBLE AS e, '{\"b\":1}' AS f FROM events")
-query("agg_sketches", "SELECT approx_distinct(l_returnflag) AS a, approx_distinct(l_linestatus) AS b, approx_percentile_cont(l_quantity, 0.903) AS c, approx_percentile(l_linenumber, 0.3) AS d, approx_median(l_linenumber) AS e FROM lineitem", "SELECT count(DISTINCT l_returnflag) AS a, count(DISTINCT l_linestatus) AS b, quantile_disc(l_quantity, 0.903) AS c, quantile_disc(l_linenumber, 0.3) AS d, quantile_disc(l_linenumber, 0.5) AS e FROM lineitem")
-query("agg_map_union_entries", "SELECT n_nationkey, element_at(m, n_nationkey) AS v, cardinality(m) AS n FROM nation CROSS JOIN (SELECT map_union(map([n_nationkey], [n_name])) AS m FROM nation) AS q", "SELECT n_nationkey, n_name AS v, (SELECT count(*) FROM nation) AS n FROM nation")
+query("window_rewritten_aggregates", "SELECT c_custkey, array_agg(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, round(kurtosis(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS k, cardinality(histogram(c_nationkey) OVER (PARTITION BY c_mktsegment)) AS h, element_at(map_agg(c_custkey, c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), c_custkey) AS m FROM customer", "SELECT c_custkey, list(c_nationkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a, round(kurtosis(c_acctbal) OVER (PARTITION BY c_mktsegment), 4) AS k, len(list_distinct(list(c_nationkey) OVER (PARTITION BY c_mktsegment))) AS h, c_nationkey AS m FROM customer")
 query("agg_regression_sums", "SELECT o_orderstatus, round(regr_syy(o_totalprice, o_custkey) / 1e9, 4) AS a, round(regr_sxy(o_totalprice, o_custkey) / 1e9, 4) AS b, regr_count(o_totalprice, o_custkey) AS c FROM orders GROUP BY o_orderstatus")
-query("table_sample_share", "SELECT (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (100)) AS everything, (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (20)) BETWEEN 0.17 * count(*) AND 0.23 * count(*) AS a, (SELECT count(*) FROM lineitem TABLESAMPLE BERNOULLI (60)) BETWEEN 0.56 * count(*) AND 0.64 * count(*) AS b FROM lineitem", "SELECT count(*) AS everything, true AS a, true AS b FROM lineitem")
 
 query("fn_regex_columns", "SELECT n_nationkey, regexp_extract(n_name, p) AS a, regexp_replace(n_name, q, r) AS b, regexp_replace(n_name, q, r, 'g') AS c, regexp_match(n_name, p)[1] AS d, regexp_replace(n_name, 'N(A)', concat(r, '_')) AS e FROM (SELECT n_nationkey, n_name, concat('TI(ON)_', n_nationkey) AS p, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END AS q, '<\\1>' AS r FROM nation) AS x".replace("\\\\", "\\"), "SELECT n_nationkey, 'ON' AS a, regexp_replace(n_name, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END, '<\\1>') AS b, regexp_replace(n_name, CASE WHEN n_nationkey % 2 = 0 THEN '(A)T' ELSE '([NT])' END, '<\\1>', 'g') AS c, 'ON' AS d, regexp_replace(n_name, 'N(A)', '<\\1>_') AS e FROM nation".replace("\\\\", "\\"))
 query("select_replace_in_place", "SELECT * REPLACE (upper(r_name) AS r_name) FROM (SELECT r_name, r_regionkey FROM region) AS q UNION ALL SELECT concat(a, '!'), b FROM (SELECT * EXCLUDE (c) REPLACE (b + 1 AS b) FROM (SELECT r_name AS a, r_regionkey AS b, 1 AS c FROM region) AS s) AS t", "SELECT upper(r_name) AS r_name, r_regionkey FROM region UNION ALL SELECT r_name || '!', r_regionkey + 1 FROM region")

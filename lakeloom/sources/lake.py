@@ -568,20 +568,24 @@ class Table:
         gone |= {e["path"] for e in entries if e["kind"] == "position" and set(e["targets"]) <= gone}
         return self._commit_files(added, gone, "overwrite", branch)
 
-    def replace(self, df: DataFrame, branch: str = "main") -> int:
-        """CREATE OR REPLACE AS: the schema and rows of df in one commit; old snapshots stay."""
-        fresh = {"fields": []}
+    def replace(self, df: DataFrame, branch: str = "main", partition: list[str] = (), properties: dict | None = None, defaults: dict | None = None, comment: str | None = None) -> int:
+        """CREATE OR REPLACE: the schema and rows of df in one commit; old snapshots stay."""
+        spec = [partition_spec(p) for p in partition]
 
         def schema(meta: dict) -> None:
             number = max(s["id"] for s in meta["schemas"]) + 1
-            fresh["fields"] = [{"id": meta["next_field"] + k, "name": f.name, "physical": f"{f.name}_{meta['next_field'] + k}", "type": f.dataType.jsonValue(), "nullable": True, "default": None, "initial": None, "comment": ""} for k, f in enumerate(df.schema.fields)]
-            meta["schemas"].append({"id": number, "fields": fresh["fields"]})
-            meta |= {"schema": number, "next_field": meta["next_field"] + len(fresh["fields"]), "specs": [*meta["specs"], []], "spec": len(meta["specs"])}
+            fields = [{"id": meta["next_field"] + k, "name": f.name, "physical": f"{f.name}_{meta['next_field'] + k}", "type": f.dataType.jsonValue(), "nullable": f.nullable if defaults is not None else True, "default": (defaults or {}).get(f.name), "initial": None, "comment": (f.metadata or {}).get("comment", "")} for k, f in enumerate(df.schema.fields)]
+            meta["schemas"].append({"id": number, "fields": fields})
+            meta |= {"schema": number, "next_field": meta["next_field"] + len(fields), "specs": [*meta["specs"], spec], "spec": len(meta["specs"])}
+            if properties is not None:
+                meta["properties"] = properties
+            if comment is not None:
+                meta["comment"] = comment
 
         meta = self.meta()
         gone = {e["path"] for e in self.entries(self.snapshot_of(meta, branch))}
         schema(meta)
-        added = self._write(df, meta)
+        added = [e for e in self._write(df, meta) if e["rows"]]
         return self._commit_files(added, gone, "overwrite", branch, new_meta=schema)
 
     def truncate(self, branch: str = "main") -> int:

@@ -196,3 +196,16 @@ def test_policy_statements(e):
     e.sql("REVOKE ALL ON t FROM USER plain")
     with pytest.raises(PermissionError):
         e.as_user("plain").sql("SELECT * FROM t")
+
+
+def test_create_or_replace_keeps_history(e):
+    e.sql("CREATE TABLE t AS SELECT 1 AS id, 'a' AS v")
+    first = e.table("t").meta()["snapshots"][-1]["id"]
+    e.sql("CREATE OR REPLACE TABLE t (id BIGINT NOT NULL, d DATE, w VARCHAR DEFAULT 'q') PARTITIONED BY (year(d)) COMMENT 'new'")
+    assert rows(e, "SELECT * FROM t") == [] and e.table("t").snapshot_of(e.table("t").meta(), first)["id"] == first
+    e.sql("INSERT INTO t (id, d) VALUES (5, DATE '2024-02-03')")
+    assert rows(e, "SELECT id, w FROM t") == [(5, "q")] and rows(e, 'SELECT "partition" FROM "t$partitions"') == [('["2024"]',)]
+    assert rows(e, "SELECT comment FROM system.metadata.table_comments") == [("new",)]
+    assert e.sql(f"SELECT count(*) AS n FROM t FOR VERSION AS OF {first}").first().n == 1
+    e.sql("CREATE OR REPLACE TABLE t PARTITIONED BY (k) AS SELECT id, id % 2 AS k FROM range(4) AS r(id)")
+    assert rows(e, "SELECT * FROM t") == [(0, 0), (1, 1), (2, 0), (3, 1)] and e.sql('SELECT * FROM "t$partitions"').count() == 2
