@@ -188,7 +188,8 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
         same = (F.col("x.h") == F.col("y.h")) & may
         if number < PIVOTS:
             group = rooted.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM)) + F.lit(number / 2)))  # bounds move, so near sizes meet
-            draw = F.struct(F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "nth", "of", "root")  # the same text for many postings
+            # The same text for many postings: at first one with the most of them, as it has the least of its own; then any.
+            draw = F.struct((-F.col("of") if number == 0 else F.lit(0)).alias("own"), F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "nth", "of", "root")
             pivot = group.groupBy("h", "class").agg(F.min(draw).alias("p"), F.count("*").alias("c")).filter("c > 1").select("h", "class", "p.*")
             met = group.alias("x").join(pivot.alias("y"), same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
             found = counted(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", "most.b")
