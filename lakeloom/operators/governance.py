@@ -72,6 +72,8 @@ class Policies:
     tag_masks: list[dict] = field(default_factory=list)
     grants: list[dict] = field(default_factory=list)
     members: dict[str, set[str]] = field(default_factory=dict)
+    #: Of the warehouse's policies, the version that these are.
+    version: int = field(default=-1, repr=False, compare=False)
 
     def dump(self) -> dict:
         """As JSON values."""

@@ -182,18 +182,22 @@ class Lake:
         ns, _, table = name.rpartition(".")
         return f"{self.root}/{ns or 'default'}/{table}"
 
+    def kept_version(self, what: str) -> int:
+        """Of a value that belongs to the warehouse: -1 before there is one."""
+        names = [n for n in self.store.names(f"{self.root}/_{what}") if n.startswith("v")]
+        return int(names[-1][1:-5]) if names else -1
+
     def kept(self, what: str) -> Any:
         """The newest version of a value that belongs to the warehouse: views, policies."""
-        names = [n for n in self.store.names(f"{self.root}/_{what}") if n.startswith("v")]
-        return self.store.read(f"{self.root}/_{what}/{names[-1]}") if names else None
+        number = self.kept_version(what)
+        return self.store.read(f"{self.root}/_{what}/v{number:010d}.json") if number >= 0 else None
 
-    def keep(self, what: str, change: Callable[[Any], Any]) -> None:
-        """Writes the next version; made again from the newest if another writer was first."""
+    def keep(self, what: str, change: Callable[[Any], Any]) -> int:
+        """Writes the next version, and gives its number; made again from the newest if another writer was first."""
         for _ in range(COMMIT_TRIES):
-            names = [n for n in self.store.names(f"{self.root}/_{what}") if n.startswith("v")]
-            number = int(names[-1][1:-5]) + 1 if names else 0
+            number = self.kept_version(what) + 1
             if self.store.create(f"{self.root}/_{what}/v{number:010d}.json", change(self.kept(what))):
-                return
+                return number
         raise Conflict(f"{what}: too many changes at once")
 
     def namespaces(self) -> list[str]:

@@ -192,3 +192,17 @@ def test_sketches_belong_to_a_snapshot(e):
     assert {r.column_name: r.distinct_values_count for r in e.sql("SHOW STATS FOR t").collect()} == {"id": 500, "k": 7, "s": 500, "d": 3, None: None}
     e.sql("INSERT INTO t VALUES (1000, 8, 'x', NULL)")
     assert metadata.sketches(e.table("t")) == {} and {r.column_name: r.distinct_values_count for r in e.sql("SHOW STATS FOR t").collect()}["k"] == 8
+
+
+def test_policies_of_another_session_hold_at_once(e):
+    e.sql("CREATE TABLE g AS SELECT 1 AS id")
+    other = Engine(e.spark, e.lake.root, user="low")
+    assert other.cached("SELECT * FROM g").count() == 1
+    e.sql("DENY SELECT ON g TO USER low")
+    for run in (other.sql, other.cached):
+        with pytest.raises(AccessDenied):
+            run("SELECT * FROM g")
+    e.sql("CREATE VIEW v AS SELECT 2 AS two")
+    assert other.sql("SELECT * FROM v").first().two == 2
+    e.sql("REVOKE SELECT ON g FROM USER low")
+    assert Engine(e.spark, e.lake.root).policies.grants == [] and other.sql("SELECT * FROM g").count() == 1
