@@ -24,6 +24,21 @@ from lakeloom.llm import bpe, common
 BLOCK, RUN, RANGE, TASKS = 1 << 15, 64, 64, 50_000
 
 
+def _uri(file: str) -> str:
+    """A path of Spark's as pyarrow spells it."""
+    return "file:///" + file[5:].lstrip("/") if file.startswith("file:") else f"file://{file}" if file.startswith("/") else file.replace("s3a://", "s3://", 1)
+
+
+def _by_range(path: str) -> bool:
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(_uri(path))
+        return True
+    except (pa.ArrowException, OSError, ValueError):  # no such scheme there, or no library for it
+        return False
+
+
 def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     """Flat binary token files below a path (or a glob), as blocks: file, block, body.
 
@@ -35,7 +50,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> Data
     width = np.dtype(dtype).itemsize
     step, span = BLOCK * width, BLOCK * width * RANGE
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    if path.split("://")[0] not in ("file", "hdfs", "s3", "s3a", "gs") and "://" in path:
+    if not _by_range(path):
         starts = F.when(F.col("length") > 0, F.expr(f"sequence(0L, length - 1, {step}L)")).otherwise(F.expr("array(0L)"))
         whole = listed.select(F.col("path").alias("file"), "content", F.posexplode(starts).alias("block", "start"))
         return whole.select("file", F.col("block").cast("bigint"), F.expr(f"substring(content, cast(start + 1 as int), {step})").alias("body"))
@@ -47,8 +62,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2") -> Data
 
         for batch in batches:
             for file, length, start in zip(*(batch.column(c).to_pylist() for c in ("file", "length", "start")), strict=True):
-                where = "file:///" + file[5:].lstrip("/") if file.startswith("file:") else file.replace("s3a://", "s3://", 1)
-                store, name = fs.FileSystem.from_uri(where)
+                store, name = fs.FileSystem.from_uri(_uri(file))
                 with store.open_input_file(name) as f:
                     for at in range(start, max(start + 1, min(length, start + span)), step):
                         body = f.read_at(min(step, length - at), at) if length else b""

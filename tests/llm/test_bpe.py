@@ -134,6 +134,9 @@ def test_files_of_many_ranges_and_runs(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(np.array(s, "<u2").tobytes())
     blocks = token_counts.read_token_files(spark, f"file://{tmp_path}")
     assert blocks.count() == 3 * 750 and 750 > 2 * token_counts.RUN
+    monkeypatch.setattr(token_counts, "_by_range", lambda path: False)  # a store that only Spark reads
+    whole = token_counts.read_token_files(spark, str(tmp_path))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, blocks.collect()))
     got = {}
     for x in sorted(token_counts.count_tokens(blocks, 7).collect()):
         got.setdefault(x.file.rsplit("/", 1)[1], []).append((x.n_tokens, x.closed))
