@@ -260,13 +260,19 @@ def kept_only(spark: SparkSession, since: int, result: DataFrame | None = None)
     return len(_WRITTEN)
 
 
+#: Links of a part of a graph.
+PART_ROWS = 100_000
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root: the least node that links (a, b: bigint) reach, for every node that has a link.
 
     Alternating large and small stars; a hub's links are dealt by a join that
-    Spark can split, never gathered.  Each round is checkpointed.
+    Spark can split, never gathered.  Each round is checkpointed, in parts of
+    about PART_ROWS links, so few links are few files.
     """
     shared_folder(links.sparkSession)
+    parted = lambda df, n: df.coalesce(n // PART_ROWS + 1)
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
 
     def mark(df):
@@ -274,6 +280,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     before = mark(edges)
     for _ in range(rounds):
+        edges = parted(edges, before[0])
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

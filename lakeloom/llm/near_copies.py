@@ -10,15 +10,16 @@ shingles, so the first n - ceil(t n) + 1 shingles of both have one in common
 never looked up, so most texts that are nobody's copy have no postings at
 all.  What two prefixes share also bounds what the texts share: all that they
 have in common up to the end of the prefix that ends first is in both, and of
-the other text's rest no more than ceil(t n) - 1 can follow, so pairs whose
-prefixes share too little are dropped by a count.  Frequencies travel by ``common.Exchange``; a frequency that collides
+the other text's rest no more than ceil(t n) - 1 can follow.  So prefixes must
+share several shingles, and a pair is looked for only at places that leave
+room for as many.  Frequencies travel by ``common.Exchange``; a frequency that collides
 only moves a shingle in the order, alike for all texts.
 
 Pairs are verified by their whole shingle sets (64-bit hashes).  A large group
-of copies is not compared pair by pair: in two rounds each posting's texts of
-about one size have one of them drawn, and each text is compared with that
-drawn text with which it shares most postings; then only pairs that are not
-yet in one component.
+of copies is not compared pair by pair: first each posting's texts of about one
+size have one of them drawn, and each text is compared with that drawn text
+with which it shares most postings; then only pairs that are not yet in one
+component.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ NUM, DEN = 4, 5
 #: Bytes of text whose shingles are hashed at once.
 SLICE_BYTES = 1 << 19
 #: Rounds of comparing each text with one that is drawn before all pairs that are left.
-PIVOTS = 2
+PIVOTS = 1
 FOUND = "doc_id bigint, copy bigint, key bigint, n int, fp bigint, prefix binary, shingles binary"
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 
@@ -179,8 +180,6 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     # the first; and what comes before and after it in both prefixes must hold what those share at least.
     left = f"least(x.n - x.place, y.n - y.place) * {NUM + DEN} >= {NUM} * (x.n + y.n)"
     may = F.expr(f"(least(x.nth, y.nth) > 0 OR {left}) AND least(x.nth, y.nth) + least(x.of - x.nth, y.of - y.nth) >= {floor('x.n', 'y.n')}")
-    enough = F.expr(f"shared >= {floor('n', 'm')}")
-    counted = lambda met: met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
     done = known
     for number in range(PIVOTS + 1):
         roots = common.components(done)
@@ -192,8 +191,12 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
             draw = F.struct((-F.col("of") if number == 0 else F.lit(0)).alias("own"), F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "nth", "of", "root")
             pivot = group.groupBy("h", "class").agg(F.min(draw).alias("p"), F.count("*").alias("c")).filter("c > 1").select("h", "class", "p.*")
             met = group.alias("x").join(pivot.alias("y"), same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
-            found = counted(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", "most.b")
+            shared = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"))
+            found = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", "most.b")
         else:
-            found = counted(rooted.alias("x").join(rooted.alias("y"), same & (F.col("x.root") < F.col("y.root")))).filter(enough).select("a", "b")
+            # Prefixes that share c shingles share one among all but the last c - 1 of each: a row for these is enough to find the pair.
+            early = F.expr(f"greatest(x.nth - x.of, y.nth - y.of) + {floor('x.n', 'y.n')} <= 0")
+            met = rooted.alias("x").join(rooted.alias("y"), same & early & (F.col("x.root") < F.col("y.root")))
+            found = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         done = done.unionByName(verified(found, texts))
     return done
