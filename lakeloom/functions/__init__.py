@@ -20,8 +20,10 @@ def agg(name: str, *args: str, distinct: bool = False, order_by: list[str] | Non
 
 
 def register(spark: SparkSession) -> None:
-    """Registers the Arrow-batched functions: Unicode normal forms, BLAKE2, HMAC and stems."""
+    """Registers the Arrow-batched functions, once a session: Unicode normal forms, BLAKE2, HMAC and stems."""
     from lakeloom.functions.vectorized import FUNCTIONS
 
+    if spark.catalog.functionExists("lakeloom_word_stem"):
+        return
     for name, (f, kind) in FUNCTIONS.items():
         spark.udf.register(f"lakeloom_{name}", F.pandas_udf(f, kind))

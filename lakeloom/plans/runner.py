@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from lakeloom import functions
 from lakeloom.plans.dialect import Rewriter
@@ -13,13 +14,26 @@ from lakeloom.plans.registry import register
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; its schema is looked up again only when its files have changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The query's plan; only the tables that it names are opened."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     functions.register(spark)
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
-            spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
+            table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
 
     def types(text: str) -> list[str] | None:
         try:
