@@ -170,6 +170,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: pairs of keys of similarity 0.8 or more that, with the known ones, join all such pairs into their components.  texts: key, n, prefix, shingles, one row per key."""
+    # Postings are small as files and several times that as rows, which Spark does not see: their joins ask not to be broadcast.
     postings = common.written(texts.select("key", "n", "prefix").mapInArrow(_postings, "h bigint, key bigint, n int, place int, nth int, of int"), "postings")
 
     def floor(a: str, b: str) -> str:
@@ -190,13 +191,13 @@ def links(texts: DataFrame, known: DataFrame) -> DataFrame:
             # The same text for many postings: at first one with the most of them, as it has the least of its own; then any.
             draw = F.struct((-F.col("of") if number == 0 else F.lit(0)).alias("own"), F.xxhash64("key", F.lit(number)).alias("draw"), "key", "n", "place", "nth", "of", "root")
             pivot = group.groupBy("h", "class").agg(F.min(draw).alias("p"), F.count("*").alias("c")).filter("c > 1").select("h", "class", "p.*")
-            met = group.alias("x").join(pivot.alias("y"), same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
+            met = group.alias("x").join(pivot.hint("merge").alias("y"), same & (F.col("x.class") == F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
             shared = met.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("shared"))
             found = shared.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("most")).select("a", "most.b")
         else:
             # Prefixes that share c shingles share one among all but the last c - 1 of each: a row for these is enough to find the pair.
             early = F.expr(f"greatest(x.nth - x.of, y.nth - y.of) + {floor('x.n', 'y.n')} <= 0")
-            met = rooted.alias("x").join(rooted.alias("y"), same & early & (F.col("x.root") < F.col("y.root")))
+            met = rooted.alias("x").join(rooted.hint("merge").alias("y"), same & early & (F.col("x.root") < F.col("y.root")))
             found = met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
         done = done.unionByName(verified(found, texts))
     return done

@@ -101,7 +101,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def _placed(prints: DataFrame, threshold: int) -> DataFrame:
-    """anchor, fp, centre: the anchors of each fingerprint (column fp), and whether it stands there as a centre."""
+    """anchor, fp, centre: the anchors of each fingerprint (column fp), and whether it stands there as a centre.
+
+    Spark takes these rows, 61 for each fingerprint at threshold 2, for as
+    many as there are fingerprints, so it would broadcast far more than its
+    limit through the driver: joins of them ask for a sort-merge join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +133,7 @@ def stars(prints: DataFrame, threshold: int = 2) -> DataFrame:
     placed = _placed(prints, threshold)
     least = placed.filter("centre").groupBy("anchor").agg(F.min("fp").alias("a"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= threshold) & (F.col("a") != F.col("fp"))
-    return placed.join(least, "anchor").filter(near).groupBy(F.col("fp").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    return placed.join(least.hint("merge"), "anchor").filter(near).groupBy(F.col("fp").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

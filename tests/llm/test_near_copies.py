@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline as cp
-from lakeloom.llm import near_copies
+from lakeloom.llm import common, near_copies, simhash
 
 
 def sets(text):
@@ -86,3 +86,20 @@ def test_prefixes_skip_texts_that_are_alone(spark):
     rows = [(k, " ".join(f"{k}a{j}" for j in range(30))) for k in range(20)] + [(20, " ".join(f"3a{j}" for j in range(29)))]
     found = near_copies.prefixes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(x.doc_id for x in found if x.prefix is not None) == [3, 20]
+
+
+def test_nothing_of_the_corpus_is_broadcast(spark, monkeypatch):
+    """Spark takes replicas and postings for a fraction of the rows that they are, and broadcast them through the driver."""
+    plans = []
+
+    def seen(found, texts, verified=near_copies.verified):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return verified(found, texts)
+
+    monkeypatch.setattr(near_copies, "verified", seen)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(30)]
+    simhash.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).count()
+    prints = common.written(spark.range(50).selectExpr("xxhash64(id) AS fp", "id AS least"), "prints")
+    stars = simhash.stars(prints)._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 3 and all("BroadcastHashJoin" not in p and "SortMergeJoin" in p for p in [*plans[1:], stars])
