@@ -125,7 +125,7 @@ def links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     centres = placed.filter("centre").select("anchor", F.col("fp").alias("a"))
     others = placed.select("anchor", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return centres.join(others, "anchor").filter(near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return centres.join(others.hint("merge"), "anchor").filter(near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def stars(prints: DataFrame, threshold: int = 2) -> DataFrame:
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_co
     rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = common.written(rooted, "roots")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")  # each has one; so prints are never what is broadcast
 
 
 def similar_groups(docs: DataFrame, threshold: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,6 +60,16 @@ def test_links_equal_brute_force(spark):
     assert got == {(a, b) for a in prints for b in prints if a > b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
 
 
+def test_replicas_and_rows_are_not_broadcast(spark):
+    """Spark takes 61 replicas for one row: within its limit by its own count, they came to gigabytes in the driver."""
+    prints = common.written(spark.range(50).selectExpr("xxhash64(id) AS fp"), "prints")
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(9)], "doc_id bigint, text string")
+    got = simhash.near_duplicates(docs)
+    assert got.count() == 9 and "BuildLeft" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 40)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(5, 5)]
