@@ -107,3 +107,21 @@ def test_verdict_of_the_rules_by_hand(spark):
     want = {i: bool(not failed[k] and w <= best + 1e-9) for (k, i), w in zip(enumerate(rows), walked(forest, x), strict=True)}
     got = {r.doc_id: r.kept for r in rules_forest.judged(docs, labels).collect()}
     assert got == want and len(set(got.values())) == 2
+
+
+def test_all_labelled_rows_count(spark):
+    """More rows than any earlier bound: the threshold is the one of all of them, and trees' rows come from all."""
+    n, r = 6000, np.random.default_rng(5)
+    texts = [" ".join("".join(r.choice(list("abcdefgh#"), r.integers(2, 9))) for _ in range(30)) for _ in range(300)]
+    docs = [(i, texts[i % 300] + " " + "x" * (i % 7)) for i in range(n)]
+    labels = [(i, int(i % 300 >= 30 or i % 11 == 0)) for i in range(n)]
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = {x.doc_id: x for x in rules_forest.judged(spark.createDataFrame(docs, "doc_id bigint, text string"), known).collect()}
+    scores, good = np.array([got[i].score for i in range(n)]), np.array([y == 1 for _, y in labels])
+    assert not any(x.base_failed for x in got.values())
+    least = np.quantile(scores[good], rules_forest.KEEP)
+    best = max((c for c in sorted(set(scores)) if c >= least), key=lambda c: (round((scores[~good] > c).mean() + (scores[good] <= c).mean(), 9), -c))
+    assert [got[i].kept for i in range(n)] == (scores <= best).tolist()
+    rows = spark.range(n).selectExpr("id AS doc_id", "1 AS label", "array_repeat(cast(id AS float), 7) AS x")
+    pools = rules_forest.drawn(rows, n)
+    assert len(pools) == rules_forest.TREES and min(map(len, pools)) >= rules_forest.TREE_ROWS and len({v for p in pools for v in p[:, 0]}) > 0.99 * n
