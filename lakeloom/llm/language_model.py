@@ -14,8 +14,8 @@ scored once, in the window where at least 16 ids before it (or all) are seen.
 Word counts travel by ``common.Exchange``; no table of words is collected or
 broadcast.  Subword ids are counted where the corpus's distinct words meet.
 The attention weights start from a fit on a small sample; then every task
-fits on from there over its share of the training documents that are drawn (an
-eighth of all, whole texts), and the mean of their weights is the model.
+fits on from there over its share of all training documents, whole texts, and
+the mean of their weights is the model.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ SCORED, OVERLAP, QUERY, HIDDEN, CLUSTERS, MEMBERS = 32, 16, 8, 16, (16, 16), 32
 WINDOW = SCORED + OVERLAP
 #: Weight of the corpus-wide word share; ids of the sample that weights start from (at most START_DOC of a document), and passes over it.
 SHARE, START_DOCS, START_DOC, START_IDS, EPOCHS, SEED = 0.2, 1200, 4096, 400_000, 3, 3
-#: Of so many training documents one is drawn to fit on; windows of a step and its size; groups in which tasks' weights are averaged.
-DRAW, STEP, RATE, GROUPS = 8, 256, 0.003, 32
+#: Windows of a step and its size; groups in which tasks' weights are averaged.
+STEP, RATE, GROUPS = 256, 0.003, 32
 
 
 class Vocabulary:
@@ -300,8 +300,8 @@ def started(rows: DataFrame, path: str, count: np.ndarray) -> Model:
     return Model(Vocabulary(np.zeros(0, np.int64), opens, count)).fit(np.concatenate(kept), np.cumsum([0, *map(len, kept)]))
 
 
-def continued(model: Model, rows: DataFrame, path: str, draw: int = DRAW) -> Model:
-    """The mean of what tasks make of the model, by windows seen; each fits on the whole texts of one in ``draw`` of its documents, drawn by the hash of id and text.
+def continued(model: Model, rows: DataFrame, path: str, draw: int = 1) -> Model:
+    """The mean of what tasks make of the model, by windows seen; each fits on the whole texts of its documents, all of them (``draw``: of one in so many, by the hash of id and text).
 
     A task's weights are one row of fixed size; rows meet in GROUPS sums, and only those come to the driver.
     """
