@@ -294,23 +294,27 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-#: A-Z to lower case, all other bytes as they are.
-LOWERED = np.arange(256, dtype=np.uint8)
-LOWERED[65:91] += 32
-
-
 def word_codes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray]:
     """Words (runs without ASCII white space) of all texts as codes, the distinct words by code, and words per text."""
-    data, off = concatenated(texts)
-    if lower:
-        data = LOWERED[data]
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    inner = off[:-1][(off[:-1] < len(data)) & (np.diff(off) > 0)]
-    begins[inner] = ~space[inner]
-    total = np.concatenate([[0], np.cumsum(begins)])
-    packed_ = data[~space]
-    ends = np.append(np.concatenate([[0], np.cumsum(~space)])[np.flatnonzero(begins)], len(packed_)).astype(np.int32)
-    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed_.tobytes())]).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), words.dictionary, total[off[1:]] - total[off[:-1]]
+    data, off = concatenated([b"".join(texts).lower()] if lower else texts)
+    if lower:  # of bytes: A-Z alone
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    word = (data != 32) & (data - np.uint8(9) > 4)
+    begins, closes = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    closes[:-1] &= ~word[1:]
+    some = np.diff(off) > 0  # no word crosses texts
+    begins[off[:-1][some]], closes[off[1:][some] - 1] = word[off[:-1][some]], word[off[1:][some] - 1]
+    at = np.flatnonzero(begins)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(closes) + 1 - at)]).astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[word].tobytes())]).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int64), words.dictionary, np.diff(np.searchsorted(at, off))
+
+
+def listed(words: pa.BinaryArray) -> list[bytes]:
+    """The values of an array without nulls, as ``to_pylist`` gives them."""
+    if not len(words):
+        return []
+    _, ends, body = words.buffers()
+    ends, body = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset).tolist(), body.to_pybytes()
+    return [body[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

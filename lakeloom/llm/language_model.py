@@ -39,6 +39,9 @@ WINDOW = SCORED + OVERLAP
 SHARE, START_DOCS, START_DOC, START_IDS, EPOCHS, SEED = 0.2, 1200, 4096, 400_000, 3, 3
 #: Windows of a step and its size; groups in which tasks' weights are averaged.
 STEP, RATE, GROUPS = 256, 0.003, 32
+#: Windows whose attention is worked on at once, so that it stays in a core's cache; how far each place of a window is behind each scored one.
+TOGETHER = 32
+DISTANCE = (OVERLAP + np.arange(SCORED))[:, None] - np.arange(WINDOW)
 
 
 class Vocabulary:
@@ -115,122 +118,140 @@ class Model:
         p = {"a": r.normal(0, 0.3, (n, HIDDEN)), "q": r.normal(0, 0.3, (n, QUERY)), "k": r.normal(0, 0.3, (n, QUERY)), "x": r.normal(0, 0.3, (n, HIDDEN)), "d": -0.1 * np.arange(WINDOW), "w": r.normal(0, HIDDEN**-0.5, (HIDDEN, HIDDEN)), "c": r.normal(0, 0.1, (HIDDEN, c)), "cb": np.zeros(c), "m": r.normal(0, 0.1, (c, HIDDEN, MEMBERS)), "mb": np.zeros((c, MEMBERS))}
         self.p = {k: x.astype(np.float32) for k, x in p.items()}
 
-    def _attended(self, inputs: np.ndarray, real: np.ndarray) -> tuple:
-        """inputs: (window, WINDOW) ids before each place; real: which exist.  Hidden states of the scored places."""
+    def _tables(self) -> tuple:
+        """What places read by input: ``a``; ``q``; ``k``; ``x`` through ``w``, and a one, whose sum is that of the weights.  And the biases by distance.
+
+        The last row is what does not exist: it has no one, so nothing is seen of it.
+        """
         p = self.p
-        q, k, x = p["q"].take(inputs[:, OVERLAP:], 0), p["k"].take(inputs, 0), p["x"].take(inputs, 0)
+        a, q, k, x = (np.zeros((self.v.first + 2, wide), p["w"].dtype) for wide in (HIDDEN, QUERY, QUERY, HIDDEN + 1))
+        a[:-1], q[:-1], k[:-1], x[:-1, :HIDDEN], x[:-1, HIDDEN] = p["a"], p["q"], p["k"], p["x"] @ p["w"], 1
+        return a, q, k, x, np.where(DISTANCE >= 0, p["d"][np.maximum(DISTANCE, 0)], -1e9).astype(p["d"].dtype)
+
+    def _attended(self, tables: tuple, inputs: np.ndarray) -> tuple:
+        """inputs: (window, WINDOW) ids before each place.  Hidden states of the scored places, and what they are made of."""
+        a, q, k, x, bias = tables
+        late = inputs[:, OVERLAP:]
+        q, k, x = q.take(late, 0), k.take(inputs, 0), x.take(inputs, 0)
         s = q @ k.transpose(0, 2, 1)
-        distance = (OVERLAP + np.arange(SCORED))[:, None] - np.arange(WINDOW)
-        s += np.where(distance >= 0, p["d"][np.maximum(distance, 0)], 0).astype(s.dtype)
+        s += bias
         if s.max(initial=0) > 30:  # else nothing overflows, and rows need no shift
-            s += np.where(distance >= 0, 0, -1e9).astype(s.dtype)
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        s *= (distance >= 0).astype(s.dtype)
-        partial = np.flatnonzero(~real.all(1))
-        s[partial] *= real[partial][:, None]
-        total = (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype)).reshape(*s.shape[:2], 1) + np.float32(1e-30)
         seen = s @ x
-        seen /= total
-        h = p["a"].take(inputs[:, OVERLAP:], 0) + seen @ p["w"]
+        each = 1 / (seen[:, :, HIDDEN:] + s.dtype.type(1e-30))
+        seen *= each
+        h = a.take(late, 0)
+        h += seen[:, :, :HIDDEN]
         np.tanh(h, out=h)
-        return q, k, x, s, total, seen, h, distance
+        return q, k, x, s, each, seen, h
+
+    def _ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of clusters and of members, their biases as one more row: a cluster or member that does not occur has no share."""
+        v, p = self.v, self.p
+        cb, mb = np.where(v.live, p["cb"], -1e9).astype(p["cb"].dtype), np.where(v.valid, p["mb"], -1e9).astype(p["mb"].dtype)
+        return np.concatenate([p["c"], cb[None]]), np.concatenate([p["m"], mb[:, None]], 1)
 
-    def _prepared(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs, which of them exist, and which scored places have an id, of windows."""
+    def _chosen(self, h: np.ndarray, target: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> tuple:
+        """For hidden states (and a one each) in the order of their targets' clusters: exponentials of clusters' and members' logits, their sums, the targets' places in them and members' own logits, and where clusters end."""
+        v = self.v
+        cluster, member, each = v.cluster[target], v.member[target], np.arange(len(target)) * MEMBERS
+        ends = np.concatenate([[0], np.cumsum(np.bincount(cluster, minlength=sum(CLUSTERS)))]).tolist()
+        y, z = h @ weights[0], np.empty((len(h), MEMBERS), h.dtype)
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                np.matmul(h[a:b], weights[1][c], out=z[a:b])
+        for x in (y, z):
+            if x.max(initial=0) > 30:
+                x -= x.max(1, keepdims=True)
+        mine = each + member
+        own = z.take(mine)
+        np.exp(y, out=y)
+        np.exp(z, out=z)
+        return y, z, y @ np.ones(sum(CLUSTERS), y.dtype), z @ np.ones(MEMBERS, z.dtype), np.arange(len(target)) * sum(CLUSTERS) + cluster, mine, own, ends
+
+    def _prepared(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (the last row of ``_tables`` where none exists), and which scored places have an id, of windows."""
         v = self.v
         there = at >= 0
-        inputs = np.where(there, v.input[ids[np.maximum(at - 1, 0)]], v.first)
+        inputs = np.where(there, v.input[ids[np.maximum(at - 1, 0)]], v.first + 1)
         first = there.copy()  # a stream's first id has nothing before it
         first[:, 1:] &= ~there[:, :-1]
         first[:, 0] = False  # a window that begins with an id is never a stream's first
         inputs[first] = v.first
-        return inputs, there, there[:, OVERLAP:]
+        return inputs, there[:, OVERLAP:]
 
     def log_p(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every id of the streams: its log probability, and that of any opening id in its place."""
         v, p = self.v, self.p
         at, _ = windows(begin)
         logp, opened = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32)
-        bias_c = np.where(v.live, p["cb"], np.float32(-1e9)).astype(np.float32)
-        bias_m = np.where(v.valid, p["mb"], np.float32(-1e9)).astype(np.float32)
-        one = np.ones(MEMBERS, np.float32)
+        tables, weights = self._tables(), self._ends()
         low = (np.arange(sum(CLUSTERS)) < CLUSTERS[0]).astype(np.float32)
+        hidden = np.ones((512 * SCORED, HIDDEN + 1), np.float32)
         for k in range(0, len(at), 512):
             part = at[k : k + 512]
-            inputs, there, scored = self._prepared(ids, part)
-            h = self._attended(inputs, there)[6][scored]
-            places = part[:, OVERLAP:][scored]
-            target = ids[places]
-            y = h @ p["c"]
-            y += bias_c
-            if y.max(initial=0) > 30:
-                y -= y.max(1, keepdims=True)
-            np.exp(y, out=y)
-            total = y @ np.ones(sum(CLUSTERS), np.float32)
-            cluster = v.cluster[target]
-            out = np.log(y[np.arange(len(y)), cluster] / total + 1e-30)
+            inputs, scored = self._prepared(ids, part)
+            for i in range(0, len(part), TOGETHER):
+                h = self._attended(tables, inputs[i : i + TOGETHER])[-1].reshape(-1, HIDDEN)
+                hidden[i * SCORED : i * SCORED + len(h), :HIDDEN] = h
+            rows = np.flatnonzero(scored)
+            places = part[:, OVERLAP:].reshape(-1)[rows]
+            order = np.argsort(v.cluster[ids[places]], kind="stable")
+            rows, places = rows[order], places[order]
+            y, _, total, sums, mine, _, own, _ = self._chosen(hidden.take(rows, 0), ids[places], weights)
             opened[places] = np.log(y @ low / total + 1e-30)
-            order = np.argsort(cluster, kind="stable")
-            ends = np.searchsorted(cluster[order], np.arange(sum(CLUSTERS) + 1))
-            for c in range(sum(CLUSTERS)):
-                rows = order[ends[c] : ends[c + 1]]
-                if len(rows):
-                    z = h[rows] @ p["m"][c]
-                    z += bias_m[c]
-                    if z.max() > 30:
-                        z -= z.max(1, keepdims=True)
-                    own = z[np.arange(len(rows)), v.member[target[rows]]].copy()
-                    np.exp(z, out=z)
-                    out[rows] += own - np.log(z @ one)
-            logp[places] = out + v.log_rare[target]
+            logp[places] = np.log(y.take(mine) / total + 1e-30) + own - np.log(sums) + v.log_rare[ids[places]]
         return logp, opened
 
     def gradients(self, ids: np.ndarray, at: np.ndarray) -> tuple[dict, float]:
         """Of the mean negative log probability of the scored ids (rare ids as their class)."""
         v, p = self.v, self.p
-        inputs, there, scored = self._prepared(ids, at)
-        q, k, x, s, total, seen, h, distance = self._attended(inputs, there)
-        s /= total
-        hs = h[scored]
-        target = ids[at[:, OVERLAP:][scored]]
-        n, each = len(target), np.arange(len(target))
-        y = hs @ p["c"] + np.where(v.live, p["cb"], -1e9)
-        y = np.exp(y - y.max(1, keepdims=True))
-        y /= y.sum(1, keepdims=True)
-        cluster, member = v.cluster[target], v.member[target]
-        loss = -np.log(y[each, cluster] + 1e-30).sum()
-        y[each, cluster] -= 1
-        y /= n
-        grad = {"c": hs.T @ y, "cb": y.sum(0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-        dh = y @ p["c"].T
-        order = np.argsort(cluster, kind="stable")
-        ends = np.searchsorted(cluster[order], np.arange(sum(CLUSTERS) + 1))
-        for c in range(sum(CLUSTERS)):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                z = hs[rows] @ p["m"][c] + np.where(v.valid[c], p["mb"][c], -1e9)
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                mine = np.arange(len(rows))
-                loss -= np.log(z[mine, member[rows]] + 1e-30).sum()
-                z[mine, member[rows]] -= 1
-                z /= n
-                grad["m"][c], grad["mb"][c] = hs[rows].T @ z, z.sum(0)
-                dh[rows] += z @ p["m"][c].T
-        full = np.zeros(h.shape, h.dtype)
-        full[scored] = dh
-        full *= 1 - h * h
-        d_seen = full @ p["w"].T
-        ds = d_seen @ x.transpose(0, 2, 1)
-        ds = s * (ds - (s * ds).sum(2, keepdims=True))
-        flat = full.reshape(-1, HIDDEN)
-        grad["w"] = seen.reshape(-1, HIDDEN).T @ flat
-        per = ds.sum(0)
-        grad["d"] = np.bincount(np.maximum(distance, 0)[distance >= 0], per[distance >= 0], WINDOW)
+        inputs, scored = self._prepared(ids, at)
+        tables, weights, kind = self._tables(), self._ends(), p["w"].dtype
+        spans = [slice(i, i + TOGETHER) for i in range(0, len(at), TOGETHER)]
+        hidden = np.ones((len(at), SCORED, HIDDEN + 1), kind)
+        parts = [self._attended(tables, inputs[i]) for i in spans]
+        for i, part in zip(spans, parts, strict=True):
+            hidden[i, :, :HIDDEN] = part[-1]
+        rows = np.flatnonzero(scored)
+        target = ids[at[:, OVERLAP:].reshape(-1)[rows]]
+        order = np.argsort(v.cluster[target], kind="stable")
+        rows, target, n = rows[order], target[order], len(target)
+        hs = hidden.reshape(-1, HIDDEN + 1).take(rows, 0)
+        y, z, total, sums, at_y, at_z, own, ends = self._chosen(hs, target, weights)
+        loss = -(np.log(y.take(at_y) / total + 1e-30) + own - np.log(sums)).sum()
+        y *= (1 / (n * total))[:, None]
+        z *= (1 / (n * sums))[:, None]
+        y.reshape(-1)[at_y] -= 1 / n
+        z.reshape(-1)[at_z] -= 1 / n
+        by_cluster, by_member = hs.T @ y, np.zeros(weights[1].shape, kind)
+        dh, more = y @ p["c"].T, np.empty((n, HIDDEN), kind)
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                np.matmul(hs[a:b].T, z[a:b], out=by_member[c])
+                np.matmul(z[a:b], p["m"][c].T, out=more[a:b])
+        dh += more
+        grad = {"c": by_cluster[:-1], "cb": by_cluster[-1], "m": by_member[:, :-1], "mb": by_member[:, -1]}
+        full = np.zeros((len(at), SCORED, HIDDEN), kind)
+        full.reshape(-1, HIDDEN)[rows] = dh
+        da, dq, dk, dx = (np.empty((wide, len(at) * size)) for size, wide in ((SCORED, HIDDEN), (SCORED, QUERY), (WINDOW, QUERY), (WINDOW, HIDDEN + 1)))
+        per, f, ones = np.zeros((SCORED, WINDOW), kind), np.empty((TOGETHER, SCORED, HIDDEN + 1), kind), np.ones(HIDDEN, kind)
+        for i, (q, k, x, s, each, seen, h) in zip(spans, parts, strict=True):
+            mine, h = f[: len(s)], np.multiply(h, h, out=h)
+            full[i] *= np.subtract(1, h, out=h)
+            np.multiply(full[i], each, out=mine[:, :, :HIDDEN])
+            mine[:, :, HIDDEN] = -((seen[:, :, :HIDDEN] * mine[:, :, :HIDDEN]) @ ones)  # through the softmax, whose rows' sums meet x's one
+            a, b = slice(i.start * SCORED, i.stop * SCORED), slice(i.start * WINDOW, i.stop * WINDOW)
+            da[:, a], dx[:, b] = full[i].reshape(-1, HIDDEN).T, (s.transpose(0, 2, 1) @ mine).reshape(-1, HIDDEN + 1).T
+            s *= mine @ x.transpose(0, 2, 1)
+            per += s.sum(0)
+            dq[:, a], dk[:, b] = (s @ k).reshape(-1, QUERY).T, (s.transpose(0, 2, 1) @ q).reshape(-1, QUERY).T
+        grad["d"] = np.bincount(np.maximum(DISTANCE, 0)[DISTANCE >= 0], per[DISTANCE >= 0], WINDOW).astype(kind)
         late, every = inputs[:, OVERLAP:].reshape(-1), inputs.reshape(-1)
-        for name, where, g in (("a", late, flat), ("q", late, (ds @ k).reshape(-1, QUERY)), ("k", every, (ds.transpose(0, 2, 1) @ q).reshape(-1, QUERY)), ("x", every, (s.transpose(0, 2, 1) @ d_seen).reshape(-1, HIDDEN))):
-            grad[name] = np.stack([np.bincount(where, g[:, j], len(p[name])) for j in range(g.shape[1])], 1)
+        for name, where, g in (("a", late, da), ("q", late, dq), ("k", every, dk), ("x", every, dx)):
+            grad[name] = np.stack([np.bincount(where, x, v.first + 2) for x in g[: p[name].shape[1]]], 1)[:-1].astype(kind)
+        grad["w"], grad["x"] = p["x"].T @ grad["x"], grad["x"] @ p["w"].T
         return grad, float(loss / n)
 
     def fit(self, ids: np.ndarray, begin: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
@@ -256,10 +277,17 @@ class Adam:
 
     def step(self, grad: dict, rate: float) -> None:
         self.taken += 1
+        rate, shrink = rate / (1 - 0.9**self.taken), (1 - 0.99**self.taken) ** -0.5
         for n, g in grad.items():
-            self.m[n] += 0.1 * (g - self.m[n])
-            self.s[n] += 0.01 * (g * g - self.s[n])
-            self.model.p[n] = (self.model.p[n] - rate * (self.m[n] / (1 - 0.9**self.taken)) / (np.sqrt(self.s[n] / (1 - 0.99**self.taken)) + 1e-8)).astype(np.float32)
+            m, s = self.m[n], self.s[n]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            below = np.sqrt(s)
+            below *= shrink
+            below += 1e-8
+            np.divide(m, below, out=below)
+            below *= rate
+            self.model.p[n] = (self.model.p[n] - below).astype(np.float32)
 
 
 def laid_out(codes: np.ndarray, n: np.ndarray, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -275,7 +303,7 @@ def laid_out(codes: np.ndarray, n: np.ndarray, ids: np.ndarray, begin: np.ndarra
 def streams(texts: list[bytes], codec: bpe.Codec, opens: np.ndarray) -> tuple:
     """``laid_out`` of texts, their distinct words, and words per text."""
     codes, words, n = common.word_codes(texts, True)
-    return *laid_out(codes, n, *spelled(words.to_pylist(), codec, opens)), words, n
+    return *laid_out(codes, n, *spelled(common.listed(words), codec, opens)), words, n
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -300,6 +328,19 @@ def started(rows: DataFrame, path: str, count: np.ndarray) -> Model:
     return Model(Vocabulary(np.zeros(0, np.int64), opens, count)).fit(np.concatenate(kept), np.cumsum([0, *map(len, kept)]))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Texts of as many batches as make BATCH_BYTES, so words that they share are spelled once."""
+    texts, size = [], 0
+    for batch in batches:
+        texts += common.texts_of(batch)
+        size += batch.nbytes
+        if size >= common.BATCH_BYTES:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def continued(model: Model, rows: DataFrame, path: str, draw: int = 1) -> Model:
     """The mean of what tasks make of the model, by windows seen; each fits on the whole texts of its documents, all of them (``draw``: of one in so many, by the hash of id and text).
 
@@ -313,8 +354,8 @@ def continued(model: Model, rows: DataFrame, path: str, draw: int = 1) -> Model:
         mine, codec, seen = Model(model.v), bpe.codec(path, False), 0
         mine.p = {k: x.copy() for k, x in model.p.items()}
         steady = Adam(mine)
-        for batch in batches:
-            ids, begin, *_ = streams(batch.column("text").cast(pa.binary()).to_pylist(), codec, mine.v.opens)
+        for texts in gathered(batches):
+            ids, begin, *_ = streams(texts, codec, mine.v.opens)
             at = windows(begin)[0]
             for k in range(0, len(at), STEP):
                 steady.step(mine.gradients(ids, at[k : k + STEP])[0], RATE)
@@ -351,8 +392,8 @@ def word_counts(exchange: common.Exchange, buckets: int, path: str) -> DataFrame
         codes, words, n = common.word_codes(common.texts_of(table), True)
         train = np.array([not held_out(i) for i in table["doc_id"].to_pylist()])
         count = np.append(np.bincount(codes[np.repeat(train, n)], minlength=len(words)), train.sum()).astype(np.int64)
-        words = [*words.to_pylist(), b""]  # no word is empty: that is the end
-        return {b: common.packed(np.frombuffer(b"\n".join([words[i] for i in idx]), np.uint8), count[idx]) for b, idx in common.split_by(dealt(words, buckets), buckets)}
+        words = [*common.listed(words), b""]  # no word is empty: that is the end
+        return {b: common.packed(np.frombuffer(b"\n".join([words[i] for i in idx.tolist()]), np.uint8), count[idx]) for b, idx in common.split_by(dealt(words, buckets), buckets)}
 
     def answer(_ids, bodies):
         got = [common.unpacked(b, np.uint8, np.int64) for b in bodies]
@@ -430,7 +471,7 @@ def scored(docs: DataFrame, vocabulary: str | None = None, share: float = SHARE)
         doc_ids = table["doc_id"].to_pylist()
         codes, words, n = common.word_codes(common.texts_of(table), True)
         count, size, told = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64), []
-        for b, idx in common.split_by(dealt([*words.to_pylist(), b""], buckets), buckets):
+        for b, idx in common.split_by(dealt([*common.listed(words), b""], buckets), buckets):
             count[idx], size[idx], ids = common.unpacked(replies[0][b], np.int64, np.uint32, np.uint16)
             told.append((idx, ids))
         begin = np.concatenate([[0], np.cumsum(size)])

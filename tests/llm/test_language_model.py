@@ -1,13 +1,15 @@
 """Language model: against plain loops, as a proper distribution, gradients, the base score, held-out gain."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lakeloom.llm import bpe, language_model as lm
+from lakeloom.llm import bpe, common, language_model as lm
 
 
 @pytest.fixture(scope="module")
@@ -105,3 +107,32 @@ def test_rows_of_all_kinds(spark):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got), key=str) == base(rows)
     assert len({r.score for r in got if r.doc_id == 4}) == 1
     assert lm.scored(df.limit(0)).count() == 0
+
+
+def test_attention_is_worked_on_in_small_parts(small, monkeypatch):
+    """Few windows' attention at once; neither gradients nor scores depend on how many, nor on windows that are not whole."""
+    *_, ids, begin, _ = small
+    m = lm.Model(lm.Vocabulary(ids, lm.opening_ids(small[0])))
+    at, _ = lm.windows(begin)
+    calls, own = [], lm.Model._attended
+    monkeypatch.setattr(lm.Model, "_attended", lambda self, tables, inputs: (calls.append(len(inputs)), own(self, tables, inputs))[1])
+    got = []
+    for together in (3, len(at)):
+        monkeypatch.setattr(lm, "TOGETHER", together)
+        got.append((m.gradients(ids, at)[0], m.log_p(ids, begin)))
+        assert max(calls) == together and sum(calls) == 2 * len(at)
+        calls.clear()
+    (grad, scores), (grad_whole, scores_whole) = got
+    assert all(np.allclose(grad[k], grad_whole[k], atol=1e-6) for k in grad)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(scores, scores_whole, strict=True))
+
+
+def test_words_are_split_once_and_listed():
+    """Batches are gathered before their words are spelled; words are as plain splitting gives them, and cross no texts."""
+    texts = [b"", b"A b", b"B\x0bb\x1fc \t", b"", "ÀÉ a\xa0b".encode(), b" ", b"x" * 50, b"Z[@`"]
+    codes, words, n = common.word_codes(texts, True)
+    want = [[w for w in re.split(rb"[\x20\x09-\x0d]+", t.lower()) if w] for t in texts]
+    assert [common.listed(words)[c] for c in codes] == [w for t in want for w in t] and n.tolist() == list(map(len, want))
+    assert common.listed(words) == words.to_pylist() and common.listed(words[2:4]) == words[2:4].to_pylist() and common.word_codes([])[0].size == 0
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b"] * k)], names=["text"]) for k in (3, 0, 2)]
+    assert list(lm.gathered(iter(batches))) == [[b"a b"] * 5]
