@@ -123,3 +123,17 @@ def test_bounds_never_leave_out_a_match(kind, low, high, yes, no):
     for text in no:
         assert not lake.may_match(entry, lake.conditions(text), {"x": ("x_1", kind)}), text
     assert lake.may_match({"bounds": {"x_1": [low, high, "other"]}}, lake.conditions((no or yes)[0]), {"x": ("x_1", kind)})
+
+
+@pytest.mark.parametrize("rest", ["", " WHERE c.k > 1", " ORDER BY c.x"])
+def test_histograms_over_whole_partitions_count_before_they_gather(spark, rest):
+    """A row carries the distinct values of its partition, not all of its values: those grew with the square of a partition."""
+    spark.sql("SELECT * FROM VALUES (1, 0D), (2, NULL), (3, -0D), (5, double('NaN')), (6, 2D), (7, double('NaN')), (9, 2D), (8, 2D) AS t(k, x)").createOrReplaceTempView("counted")
+    got = run(spark, "/nowhere", f"SELECT c.k, CAST(histogram(x) OVER (PARTITION BY c.k % 2) AS VARCHAR) AS h FROM counted AS c{rest}")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    odd = "{0.0 -> 2, 2.0 -> 1, NaN -> 2}" if "WHERE" not in rest else "{0.0 -> 1, 2.0 -> 1, NaN -> 2}"
+    want = {k: odd if k % 2 else "{2.0 -> 2}" for k in (1, 2, 3, 5, 6, 7, 8, 9) if "WHERE" not in rest or k > 1}
+    assert {r.k: r.h.replace("-0.0", "0.0") for r in got.collect()} == want
+    star = run(spark, "/nowhere", "SELECT *, histogram(x) OVER () AS h FROM counted")
+    assert star.columns == ["k", "x", "h"] and {tuple(sorted(r.h.values())) for r in star.collect()} == {(2, 2, 3)}
+    assert run(spark, "/nowhere", "SELECT a.k, histogram(b.x) OVER () AS h FROM counted AS a JOIN counted AS b ON a.k = b.k").count() == 8
