@@ -64,10 +64,11 @@ def histogram(df: DataFrame, by: list[str], column: str, name: str = "histogram"
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
     """An equi-join whose hot keys are spread: left rows get a salt from their content, right rows are copied to all salts.
 
-    Only for joins that give each copy of a right row no row of its own: inner, left, semi and anti.
+    Only for joins that give each copy of a right row no row of its own: inner, left, semi and anti.  The copies are
+    never broadcast: Spark takes them for no larger than the rows they are made from.
     """
     if how.replace("_", "").removesuffix("outer") not in ("inner", "left", "semi", "leftsemi", "anti", "leftanti"):
         raise ValueError(f"a salted join cannot be {how}: right rows are copied")
     l_rows = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     r_rows = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return l_rows.join(r_rows, [*on, "__salt"], how).drop("__salt")
+    return l_rows.join(r_rows.hint("merge"), [*on, "__salt"], how).drop("__salt")

@@ -206,3 +206,11 @@ def test_policies_of_another_session_hold_at_once(e):
     assert other.sql("SELECT * FROM v").first().two == 2
     e.sql("REVOKE SELECT ON g FROM USER low")
     assert Engine(e.spark, e.lake.root).policies.grants == [] and other.sql("SELECT * FROM g").count() == 1
+
+
+def test_copies_of_a_salted_join_are_never_broadcast(spark):
+    """Spark takes the copies for no larger than their source, and the driver would have to hold all of them."""
+    left, right = spark.range(1000).selectExpr("id % 10 AS k", "id AS v"), spark.range(10).selectExpr("id AS k", "id * 2 AS w")
+    got = relational.salted_join(left, right, ["k"])
+    assert got.filter("w = 2 * k").count() == 1000
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
