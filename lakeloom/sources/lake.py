@@ -29,6 +29,8 @@ from lakeloom.sources.storage import Storage
 
 WIDENING = {("tinyint", "smallint"), ("tinyint", "int"), ("tinyint", "bigint"), ("smallint", "int"), ("smallint", "bigint"), ("int", "bigint"), ("float", "double"), ("date", "timestamp_ntz")}
 COMMIT_TRIES = 8
+#: Rows of deletes up to which Spark may broadcast them.
+FEW_ROWS = 100_000
 
 
 class LakeError(ValueError):
@@ -387,7 +389,7 @@ class Table:
         df = df.select(*cols)
         if position:
             gone = self.spark.read.schema("file string, pos bigint").parquet(*[p["path"] for p in position]).select(F.col("file").alias("__f"), F.col("pos").alias("__p"))
-            df = df.join(gone, (df["__file"] == F.col("__f")) & (df["__pos"] == F.col("__p")), "left_anti")
+            df = df.join(_shuffled(gone, sum(p["rows"] for p in position)), (df["__file"] == F.col("__f")) & (df["__pos"] == F.col("__p")), "left_anti")
         for keys in dict.fromkeys(tuple(deletes[p]["keys"]) for p in after):
             gone = self.spark.read.parquet(*[p for p in after if tuple(deletes[p]["keys"]) == keys])
             gone = gone.select(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)])
@@ -985,6 +987,11 @@ def _as_kind(c: Column, old: T.DataType, new: T.DataType) -> Column:
     return c.cast(new)
 
 
+def _shuffled(rows: DataFrame, n: int) -> DataFrame:
+    """One side of a join, of at most n rows, not broadcast if these are many: names of files and runs of numbers take a few bits a row on disk, which is what Spark goes by, but not in memory."""
+    return rows if n <= FEW_ROWS else rows.hint("merge")
+
+
 def _numeric(kind: str) -> bool:
     return kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal")
 
@@ -994,9 +1001,9 @@ def delete_using(table: Table, source: DataFrame, on: str, target: str, alias: s
     meta = table.meta()
     rows = table.read(branch, places=True, meta=meta).alias(target)
     hit = rows.join(source.alias(alias), F.expr(on), "left_semi").select(F.col("__file").alias("f"), F.col("__pos").alias("p"))
-    files = {r["f"] for r in hit.select("f").distinct().collect()}
+    files = {r["f"]: r["count"] for r in hit.groupBy("f").count().collect()}
     if not files:
         return None
-    rest = table.read(branch, places=True, only=files, meta=meta)
-    kept = rest.join(hit, (rest["__file"] == F.col("f")) & (rest["__pos"] == F.col("p")), "left_anti").drop("__file", "__pos")
-    return table._replace_files(files, kept, "delete", branch, meta)
+    rest = table.read(branch, places=True, only=set(files), meta=meta)
+    kept = rest.join(_shuffled(hit, sum(files.values())), (rest["__file"] == F.col("f")) & (rest["__pos"] == F.col("p")), "left_anti").drop("__file", "__pos")
+    return table._replace_files(set(files), kept, "delete", branch, meta)

@@ -209,3 +209,33 @@ def test_create_or_replace_keeps_history(e):
     assert e.sql(f"SELECT count(*) AS n FROM t FOR VERSION AS OF {first}").first().n == 1
     e.sql("CREATE OR REPLACE TABLE t PARTITIONED BY (k) AS SELECT id, id % 2 AS k FROM range(4) AS r(id)")
     assert rows(e, "SELECT * FROM t") == [(0, 0), (1, 1), (2, 0), (3, 1)] and e.sql('SELECT * FROM "t$partitions"').count() == 2
+
+
+def _many_deletes(monkeypatch, e, props):
+    """A table whose deletes count as many, though their files are tiny."""
+    from lakeloom.sources import lake
+
+    monkeypatch.setattr(lake, "FEW_ROWS", 10, raising=False)
+    e.sql(f"CREATE TABLE t {props} AS SELECT id, id % 5 AS v FROM range(1000) AS r(id)")
+
+
+def _plans(e, monkeypatch):
+    """The plans of joins that the row-level changes write and read."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, join = [], DataFrame.join
+
+    def joined(self, *a, **b):
+        out = join(self, *a, **b)
+        made.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", joined)
+    return made
+
+
+def test_many_position_deletes_are_not_broadcast(e, monkeypatch):
+    _many_deletes(monkeypatch, e, "WITH ('write.delete.mode' = 'merge-on-read')")
+    e.sql("DELETE FROM t WHERE v < 3")
+    got = e.sql("SELECT id FROM t")
+    assert got.count() == 400 and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
