@@ -700,9 +700,10 @@ class Table:
             self.store.delete(where)
 
     def _merged(self, where: str, source: DataFrame, on: str, clauses: list[dict], target: str, alias: str, branch: str, visible: str | None) -> int | None:
-        def kept(df: DataFrame, name: str) -> DataFrame:
+        def kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
             df.write.parquet(f"{where}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{where}/{name}")
+            out = self.spark.read.schema(df.schema).parquet(f"{where}/{name}")
+            return out, out.count()
 
         def decided(when: str) -> Column:
             """The number of the first clause of a kind that fits, else -1."""
@@ -714,20 +715,22 @@ class Table:
 
         meta, kinds = self.meta(), {c["when"] for c in clauses}
         fields = self.fields(meta)
-        s = kept(source.withColumn("__id", F.monotonically_increasing_id()), "source").alias(alias)
+        s, sources = kept(source.withColumn("__id", F.monotonically_increasing_id()), "source")
+        s = s.alias(alias)
         prune = [] if "by_source" in kinds else self._key_range(on, s, target, alias, meta)
         seen = self.read(branch, places=True, meta=meta, prune=prune)
         seen = seen.filter(F.coalesce(F.expr(visible), F.lit(False))) if visible else seen
         place = [F.col(f"{target}.__file").alias("__f"), F.col(f"{target}.__pos").alias("__p")]
-        pairs = kept(seen.alias(target).join(s, F.expr(on), "inner").select(*place, F.col(f"{alias}.__id").alias("__i"), decided("matched")), "pairs")
+        pairs, n = kept(seen.alias(target).join(_shuffled(s, sources), F.expr(on), "inner").select(*place, F.col(f"{alias}.__id").alias("__i"), decided("matched")), "pairs")
+        matched = n
         if "matched" in kinds and pairs.groupBy("__f", "__p").count().filter("count > 1").limit(1).count():
             raise LakeError("a target row matches more than one source row")
         changes = pairs.filter("__clause >= 0")
         if "by_source" in kinds:
             known = pairs.select("__f", "__p").distinct()
-            rest = seen.alias(target).join(known, (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left_anti")
+            rest = seen.alias(target).join(_shuffled(known, n), (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left_anti")
             alone = rest.select(*place, F.lit(None).cast("bigint").alias("__i"), decided("by_source")).filter("__clause >= 0")
-            changes = kept(changes.unionByName(alone), "changes")
+            changes, n = kept(changes.unionByName(alone), "changes")
         files = {r["__f"] for r in changes.select("__f").distinct().collect()}  # as many as files
 
         def value(f: dict, old: Column | None) -> Column:
@@ -744,13 +747,13 @@ class Table:
             return (F.lit(None).cast(kind) if out is None else out).alias(f["name"])
 
         touched = self.read(branch, places=True, only=files, meta=meta).alias(target)
-        joined = touched.join(changes, (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left").join(s, F.col("__i") == F.col(f"{alias}.__id"), "left")
+        joined = touched.join(_shuffled(changes, n), (F.col(f"{target}.__file") == F.col("__f")) & (F.col(f"{target}.__pos") == F.col("__p")), "left").join(_shuffled(s, sources), F.col("__i") == F.col(f"{alias}.__id"), "left")
         gone = [k for k, c in enumerate(clauses) if c["do"] == "delete"]
         stays = ~F.coalesce(F.col("__clause").isin(gone or [-2]), F.lit(False))
         new_rows = lambda df: df.select(*[value(f, F.col(f"{target}.`{f['name']}`")) for f in fields])
         parts = []
         if "not_matched" in kinds:
-            fresh = s.join(pairs.select("__i").distinct(), F.col(f"{alias}.__id") == F.col("__i"), "left_anti").select(f"{alias}.*", decided("not_matched")).filter("__clause >= 0")
+            fresh = s.join(_shuffled(pairs.select("__i").distinct(), matched), F.col(f"{alias}.__id") == F.col("__i"), "left_anti").select(f"{alias}.*", decided("not_matched")).filter("__clause >= 0")
             parts.append(fresh.alias(alias).select(*[value(f, None) for f in fields]))
         if self.mode("merge") == "equality":
             hit = joined.filter("__clause >= 0")

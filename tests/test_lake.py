@@ -239,3 +239,14 @@ def test_many_position_deletes_are_not_broadcast(e, monkeypatch):
     e.sql("DELETE FROM t WHERE v < 3")
     got = e.sql("SELECT id FROM t")
     assert got.count() == 400 and "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+MERGE = "MERGE INTO t USING (SELECT id AS k FROM range(900, 1900) AS r(id)) AS s ON t.id = s.k WHEN MATCHED THEN UPDATE SET v = -1 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.k, -2) WHEN NOT MATCHED BY SOURCE AND t.v < 3 THEN DELETE"
+
+
+def test_many_rows_of_a_merge_are_not_broadcast(e, monkeypatch):
+    _many_deletes(monkeypatch, e, "")
+    made = _plans(e, monkeypatch)
+    e.sql(MERGE)
+    assert made and not any("BroadcastHashJoin" in p for p in made)
+    assert rows(e, "SELECT v, count(*) AS n FROM t GROUP BY v") == [(-2, 900), (-1, 100), (3, 180), (4, 180)]
