@@ -391,8 +391,9 @@ class Table:
             gone = self.spark.read.schema("file string, pos bigint").parquet(*[p["path"] for p in position]).select(F.col("file").alias("__f"), F.col("pos").alias("__p"))
             df = df.join(_shuffled(gone, sum(p["rows"] for p in position)), (df["__file"] == F.col("__f")) & (df["__pos"] == F.col("__p")), "left_anti")
         for keys in dict.fromkeys(tuple(deletes[p]["keys"]) for p in after):
-            gone = self.spark.read.parquet(*[p for p in after if tuple(deletes[p]["keys"]) == keys])
-            gone = gone.select(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)])
+            paths = [p for p in after if tuple(deletes[p]["keys"]) == keys]
+            gone = self.spark.read.parquet(*paths).select(*[F.col(f"`{k}`").alias(f"__k{n}") for n, k in enumerate(keys)])
+            gone = _shuffled(gone, sum(deletes[p]["rows"] for p in paths))
             names = {f["physical"]: f["name"] for f in fields}
             df = df.join(gone, reduce(lambda a, b: a & b, [df[f"`{names[k]}`"].eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)]), "left_anti")
         return df.drop("__file", "__pos") if need and not places else df

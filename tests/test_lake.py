@@ -250,3 +250,12 @@ def test_many_rows_of_a_merge_are_not_broadcast(e, monkeypatch):
     e.sql(MERGE)
     assert made and not any("BroadcastHashJoin" in p for p in made)
     assert rows(e, "SELECT v, count(*) AS n FROM t GROUP BY v") == [(-2, 900), (-1, 100), (3, 180), (4, 180)]
+
+
+def test_many_equality_deletes_are_not_broadcast(e, monkeypatch):
+    _many_deletes(monkeypatch, e, "WITH ('write.delete.mode' = 'merge-on-read', 'write.merge.mode' = 'merge-on-read', 'primary-key' = 'id')")
+    made = _plans(e, monkeypatch)
+    e.sql(MERGE)
+    got = e.sql("SELECT v FROM t")
+    assert not any("BroadcastHashJoin" in p for p in [*made, got._jdf.queryExecution().executedPlan().toString()])
+    assert rows(e, "SELECT v, count(*) AS n FROM t GROUP BY v") == [(-2, 900), (-1, 100), (3, 180), (4, 180)]
