@@ -464,7 +464,8 @@ class Table:
         stored = T.StructType([T.StructField(f["physical"], T._parse_datatype_json_value(f["type"])) for f in fields])
         plain = [f for f in fields if isinstance(f["type"], str)]
         physical = {f["name"].lower(): f["physical"] for f in fields}
-        stats = [F.count("*").alias("n")]
+        # the set stays empty; with it the aggregate is kept in a hash table of files, where lowest texts alone would have all rows sorted by file
+        stats = [F.count("*").alias("n"), F.collect_set(F.lit(None).cast("int")).alias("hashed")]
 
         def text(c: Column, kind: str) -> Column:
             """Exact: times as microseconds, so no zone or format comes in."""

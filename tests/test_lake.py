@@ -259,3 +259,14 @@ def test_many_equality_deletes_are_not_broadcast(e, monkeypatch):
     got = e.sql("SELECT v FROM t")
     assert not any("BroadcastHashJoin" in p for p in [*made, got._jdf.queryExecution().executedPlan().toString()])
     assert rows(e, "SELECT v, count(*) AS n FROM t GROUP BY v") == [(-2, 900), (-1, 100), (3, 180), (4, 180)]
+
+
+def test_new_files_are_described_without_sorting_their_rows(e, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (made.append(self._jdf.queryExecution().executedPlan().toString()), collect(self))[1])
+    e.sql("CREATE TABLE t (k BIGINT, s VARCHAR) PARTITIONED BY (s)")
+    e.sql("INSERT INTO t SELECT id, concat('x', id % 3) FROM range(90) AS r(id)")
+    assert any("HashAggregate" in p for p in made) and not any("SortAggregate" in p for p in made)
+    assert sum(r[0] for r in rows(e, 'SELECT record_count FROM "t$files"')) == 90 and {r[0] for r in rows(e, "SELECT json_extract_scalar(lower_bounds, '$.s') FROM \"t$files\"")} == {"x0", "x1", "x2"}
