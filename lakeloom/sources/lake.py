@@ -14,7 +14,8 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from decimal import Decimal
 from functools import reduce
@@ -373,7 +374,8 @@ class Table:
     def _read_group(self, meta: dict, fields: list[dict], schema: int, files: list[dict], after: tuple, position: list[dict], places: bool, deletes: dict) -> DataFrame:
         old = {f["id"]: f for f in self.fields(meta, schema)}
         stored = T.StructType([T.StructField(f["physical"], T._parse_datatype_json_value(f["type"])) for f in old.values()])
-        df = self.spark.read.schema(stored).parquet(*[e["path"] for e in files])
+        with _listed(self.spark):
+            df = self.spark.read.schema(stored).parquet(*[e["path"] for e in files])
         cols = []
         for f in fields:
             kind = T._parse_datatype_json_value(f["type"])
@@ -458,14 +460,11 @@ class Table:
 
     def _describe(self, where: str, meta: dict, spec: list[dict]) -> list[dict]:
         fields = self.fields(meta)
-        sizes = {p: n for p, n, _ in self.store.files(where) if p.endswith(".parquet")}
-        if not sizes:
-            return []
         stored = T.StructType([T.StructField(f["physical"], T._parse_datatype_json_value(f["type"])) for f in fields])
         plain = [f for f in fields if isinstance(f["type"], str)]
         physical = {f["name"].lower(): f["physical"] for f in fields}
         # the set stays empty; with it the aggregate is kept in a hash table of files, where lowest texts alone would have all rows sorted by file
-        stats = [F.count("*").alias("n"), F.collect_set(F.lit(None).cast("int")).alias("hashed")]
+        stats = [F.count("*").alias("n"), F.max("_metadata.file_size").alias("bytes"), F.collect_set(F.lit(None).cast("int")).alias("hashed")]
 
         def text(c: Column, kind: str) -> Column:
             """Exact: times as microseconds, so no zone or format comes in."""
@@ -479,9 +478,11 @@ class Table:
             c = F.col(f"`{f['physical']}`")
             stats += [text(F.min(c), f["type"]).alias(f"l{k}"), text(F.max(c), f["type"]).alias(f"u{k}"), F.count(c).alias(f"c{k}")]
         parts = [F.min(transform_column(p, F.col(f"`{physical[p['column'].lower()]}`")).cast("string")).alias(f"p{k}") for k, p in enumerate(spec)]
-        rows = self.spark.read.schema(stored).parquet(*sizes).groupBy(F.col("_metadata.file_path").alias("file")).agg(*stats, *parts).collect()  # a row per new file
+        with _listed(self.spark):  # as one folder: nothing is asked for each file by the driver
+            found = self.spark.read.schema(stored).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(where)
+        rows = found.groupBy(F.col("_metadata.file_path").alias("file")).agg(*stats, *parts).collect()  # a row per new file
         return [
-            {"kind": "data", "path": r["file"], "rows": r["n"], "bytes": sizes.get(r["file"], self.store.size(r["file"])), "schema": meta["schema"], "spec": meta["spec"], "partition": [r[f"p{k}"] for k in range(len(spec))], "bounds": {f["physical"]: [r[f"l{k}"], r[f"u{k}"], f["type"]] for k, f in enumerate(plain)}, "nulls": {f["physical"]: r["n"] - r[f"c{k}"] for k, f in enumerate(plain)}}
+            {"kind": "data", "path": r["file"], "rows": r["n"], "bytes": r["bytes"], "schema": meta["schema"], "spec": meta["spec"], "partition": [r[f"p{k}"] for k in range(len(spec))], "bounds": {f["physical"]: [r[f"l{k}"], r[f"u{k}"], f["type"]] for k, f in enumerate(plain)}, "nulls": {f["physical"]: r["n"] - r[f"c{k}"] for k, f in enumerate(plain)}}
             for r in sorted(rows, key=lambda r: r["file"])
         ]
 
@@ -992,6 +993,18 @@ def _as_kind(c: Column, old: T.DataType, new: T.DataType) -> Column:
     return c.cast(new)
 
 
+@contextmanager
+def _listed(spark: SparkSession) -> Iterator[None]:
+    """Many files are listed by a few tasks for each core, not by one for each folder."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _shuffled(rows: DataFrame, n: int) -> DataFrame:
     """One side of a join, of at most n rows, not broadcast if these are many: names of files and runs of numbers take a few bits a row on disk, which is what Spark goes by, but not in memory."""
     return rows if n <= FEW_ROWS else rows.hint("merge")

@@ -270,3 +270,17 @@ def test_new_files_are_described_without_sorting_their_rows(e, monkeypatch):
     e.sql("INSERT INTO t SELECT id, concat('x', id % 3) FROM range(90) AS r(id)")
     assert any("HashAggregate" in p for p in made) and not any("SortAggregate" in p for p in made)
     assert sum(r[0] for r in rows(e, 'SELECT record_count FROM "t$files"')) == 90 and {r[0] for r in rows(e, "SELECT json_extract_scalar(lower_bounds, '$.s') FROM \"t$files\"")} == {"x0", "x1", "x2"}
+
+
+def test_new_files_are_not_asked_for_one_by_one(e, monkeypatch):
+    from lakeloom.sources.storage import Storage
+
+    asked = []
+    for name in ("size", "files"):
+        f = getattr(Storage, name)
+        monkeypatch.setattr(Storage, name, lambda self, path, f=f: (asked.append(path), f(self, path))[1])
+    e.sql("CREATE TABLE t (k BIGINT, s VARCHAR) PARTITIONED BY (s)")
+    e.sql("INSERT INTO t SELECT id, concat('a b:', id % 40) FROM range(80) AS r(id)")
+    assert asked == []
+    got = e.sql('SELECT file_size_in_bytes > 0, record_count FROM "t$files"').collect()
+    assert len(got) == 40 and all(r[0] for r in got) and sum(r[1] for r in got) == 80
