@@ -42,17 +42,34 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     return out.select("__row.*", *[F.col(f"__v.{v}").alias(f"{v}_asof" if v in left.columns else v) for v in values])
 
 
+#: Pairs of a point and a range of its bin that a task of a range join compares, about.
+PAIRS = 20_000_000
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
     """Points inside [low, high] of ranges, by bins of ``width``: an equi-join on bins instead of a nested loop.
 
     A range is copied to each bin it touches, so choose a width near the usual
-    range; points are never copied.
+    range; points are never copied.  Bins with more than PAIRS pairs are dealt
+    to several tasks: points by their content, ranges to all of these.  Copies
+    are never broadcast.  Pairs are counted first, by bins.
     """
     bins = lambda c: F.floor(F.col(c).cast("double") / width)
     p = points.withColumn("__bin", bins(point))
     r = ranges.withColumn("__bin", F.explode(F.sequence(bins(low), bins(high))))
     keys = [*(on or []), "__bin"]
-    return p.join(r, keys).filter((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__bin")
+    inside = (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
+    pairs = p.groupBy(*keys).agg(F.count("*").cast("double").alias("__p")).join(r.groupBy(*keys).agg(F.count("*").cast("double").alias("__r")), keys).withColumn("__salts", F.ceil(F.col("__p") * F.col("__r") / PAIRS))
+    parts = pairs.agg(F.sum("__salts"), F.max("__salts")).first()
+    if (parts[1] or 1) == 1:
+        return p.join(r.hint("merge"), keys).filter(inside).drop("__bin")
+    large = pairs.filter("__salts > 1").select(*keys, "__salts")  # few: each has more than PAIRS pairs
+    salts = F.coalesce(F.col("__salts"), F.lit(1))
+    p = p.join(large, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), salts)).drop("__salts")
+    r = r.join(large, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("__salts")
+    keys = [*keys, "__salt"]
+    n = min(2 * int(parts[0]), 20_000)  # given, as Spark would put together what has few bytes, however many pairs it makes
+    return p.repartition(n, *keys).join(r.repartition(n, *keys).hint("merge"), keys).filter(inside).drop("__bin", "__salt")
 
 
 def histogram(df: DataFrame, by: list[str], column: str, name: str = "histogram") -> DataFrame:

@@ -214,3 +214,18 @@ def test_copies_of_a_salted_join_are_never_broadcast(spark):
     got = relational.salted_join(left, right, ["k"])
     assert got.filter("w = 2 * k").count() == 1000
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_bins_of_a_range_join_are_dealt_to_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(relational, "PAIRS", 1000, raising=False)
+    points = spark.range(2000).selectExpr("id AS p", "CAST(id % 100 AS DOUBLE) + IF(id = 7, 500, 0) AS x")
+    ranges = spark.range(60).selectExpr("id AS r", "CAST(id * 2 AS DOUBLE) - 10 AS low", "CAST(id * 2 AS DOUBLE) + 20 AS high")
+    got = relational.range_join(points, ranges, "x", "low", "high", 100)
+    assert got.columns == ["p", "x", "r", "low", "high"]
+    want = sorted((p, r) for p in range(2000) for r in range(60) if r * 2 - 10 <= p % 100 + (500 if p == 7 else 0) <= r * 2 + 20)
+    assert sorted((a.p, a.r) for a in got.collect()) == want
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 20 and max(s["count"] for s in sizes) < len(want) / 5
+    assert "BroadcastHashJoin" not in relational.range_join(points.limit(5), ranges, "x", "low", "high", 100)._jdf.queryExecution().executedPlan().toString()
